@@ -66,7 +66,7 @@ class Preprocessing:
 
 def library_to_one(m: DataFrame, *, row: list[str] | None = None, value: str = "value") -> DataFrame:
     row = row or ["obs_id"]
-    return m.join(m.groupBy(*row).agg(F.sum(value).alias("_t")), row).withColumn(value, F.col(value) / F.col("_t")).drop("_t")
+    return m.join(m.groupBy(*row).agg(F.sum(value).alias("_t")), row).withColumn(value, F.try_divide(value, "_t")).drop("_t")
 
 
 def library_to_median(m: DataFrame, *, row: list[str] | None = None, value: str = "value", scope: list[str] | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def library_to_median(m: DataFrame, *, row: list[str] | None = None, value: str
     totals = m.groupBy(*scope, *row).agg(F.sum(value).alias("_t"))
     middle = totals.groupBy(*scope).agg(F.median("_t").alias("_m"))
     factor = totals.join(middle, scope) if scope else totals.crossJoin(F.broadcast(middle))  # one row
-    return m.join(factor, [*scope, *row]).withColumn(value, F.col(value) / (F.col("_t") / F.col("_m"))).drop("_t", "_m")
+    return m.join(factor, [*scope, *row]).withColumn(value, F.try_divide(value, F.try_divide("_t", "_m"))).drop("_t", "_m")
 
 
 def batch_medians(m: DataFrame, batch: str, *, row: str = "obs_id", value: str = "value") -> DataFrame:
@@ -83,7 +83,7 @@ def batch_medians(m: DataFrame, batch: str, *, row: str = "obs_id", value: str =
     totals = m.groupBy(batch, row).agg(F.sum(value).alias("_t"))
     per = totals.groupBy(batch).agg(F.median("_t").alias("_b"))
     middle = per.agg(F.median("_b").alias("_m"))
-    return m.join(per.crossJoin(F.broadcast(middle)), batch).withColumn(value, F.col(value) / (F.col("_b") / F.col("_m"))).drop("_b", "_m")
+    return m.join(per.crossJoin(F.broadcast(middle)), batch).withColumn(value, F.try_divide(value, F.try_divide("_b", "_m"))).drop("_b", "_m")
 
 
 def sizes_within_batch(m: DataFrame, batch: str, *, row: str = "obs_id", value: str = "value") -> DataFrame:

@@ -52,7 +52,7 @@ def rank_sum_confidence(stack: DataFrame, *, replicate: str = "bootstrap", keys:
     ranked = stack.join(ranks, stack[replicate].eqNullSafe(ranks["_b"]) & (stack[score] == ranks["_s"]), "left")
     summed = ranked.groupBy(*keys).agg(F.sum("_rank").alias("_total"), F.count(F.lit(1)).alias("_reps"))
     edge = summed.agg(F.min("_total").alias("_least"), (F.sum("_reps")).alias("_most"))  # one row
-    return summed.crossJoin(F.broadcast(edge)).select(*keys, ((F.col("_total") - F.col("_least")) / (F.col("_most") - F.col("_least"))).alias("combined_confidences"))
+    return summed.crossJoin(F.broadcast(edge)).select(*keys, F.coalesce(F.try_divide(F.col("_total") - F.col("_least"), F.col("_most") - F.col("_least")), F.lit(0.0)).alias("combined_confidences"))
 
 
 def gram(m: DataFrame, *, obs: str = "obs_id", feature: str = "feature", value: str = "value", other: DataFrame | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ def q(c: str) -> Column:
 def melt(wide: DataFrame, ids: list[str], columns: list[str] | None = None, name: str = "feature", value: str = "value") -> DataFrame:
     """One row per cell; the columns are cast to double."""
     columns = columns or [c for c in wide.columns if c not in ids]
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("n"), q(c).cast("double").alias("v")) for c in columns]))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("n"), q(c).try_cast("double").alias("v")) for c in columns]))
     return wide.select(*[q(i) for i in ids], cells.alias("_c")).select(*[q(i) for i in ids], F.col("_c.n").alias(name), F.col("_c.v").alias(value))
 
 

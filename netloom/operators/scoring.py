@@ -55,7 +55,7 @@ def precision_recall(rows: DataFrame, ties: str | None = None) -> DataFrame:
     order = [F.desc_nulls_last(CONF), F.col("target"), F.col("regulator")]
     run = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), scope=[], order=order, sums={"place": "_one", "_tp": "gold_standard"}).drop("_one")
     total = rows.agg(F.sum("gold_standard").alias("_all"))  # one row
-    curve = run.crossJoin(F.broadcast(total)).withColumn("precision", F.col("_tp") / F.col("place")).withColumn("recall", F.col("_tp") / F.col("_all"))
+    curve = run.crossJoin(F.broadcast(total)).withColumn("precision", F.col("_tp") / F.col("place")).withColumn("recall", F.try_divide("_tp", "_all"))
     if ties:
         per = curve.groupBy(CONF).agg(getattr(F, ties)("precision").alias("precision"), getattr(F, ties)("recall").alias("recall"))
         curve = curve.drop("precision", "recall").join(per.withColumnRenamed(CONF, "_c"), F.col(CONF).eqNullSafe(F.col("_c"))).drop("_c")

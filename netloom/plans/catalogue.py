@@ -530,7 +530,7 @@ def ols_single_predictor(spark, sf):
     mask = response.select(F.col("feature").alias("target")).distinct().withColumn("regulator", F.lit("d00"))
     from netloom.functions import kernels
 
-    return regress.regress(design, response, mask, lambda x, y, g: kernels.refit(x, y, x.any(axis=0))).select(*KEYS, r("beta"))
+    return regress.regress(design, response, mask, lambda x, y, g: kernels.refit(x, y, x.any(axis=0)), scale_response=False).select(*KEYS, r("beta"))
 
 
 def _fit(spark, sf, fit, replicates: int = 0):

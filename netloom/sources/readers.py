@@ -77,11 +77,17 @@ def read_cell_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_network(spark: SparkSession, path: str, **options) -> DataFrame:
     """A targets-by-regulators file as (target, regulator, weight); a header one name short has no name for its first column."""
-    raw = spark.read.options(**({"sep": "\t", "header": "false"} | options)).csv(path)
-    head = [v for v in raw.first() if v is not None]
-    wide = raw.where(F.col("_c0") != (head[0] if head[0] is not None else ""))
-    names = head if len(head) < len(raw.columns) else head[1:]
-    wide = wide.select(F.col("_c0").alias("target"), *[F.col(f"_c{i + 1}").alias(n) for i, n in enumerate(names)])
+    sep = options.get("sep", "\t")
+    lines = [x[0].split(sep) for x in spark.read.text(path).take(2)]  # the header and a row
+    width = max(map(len, lines))
+    columns = [f"c{i}" for i in range(width)]
+    raw = spark.read.options(**({"sep": sep, "header": "false"} | options)).schema(", ".join(f"{c} string" for c in columns)).csv(path)
+    head = [v.strip('"') for v in lines[0]]
+    names = head if len(head) < width else head[1:]
+    is_head = F.lit(True)
+    for c, v in zip(columns, head):
+        is_head = is_head & F.coalesce(F.col(c), F.lit("")).eqNullSafe(F.lit(v))
+    wide = raw.where(~is_head).select(F.col("c0").alias("target"), *[F.col(f"c{i + 1}").alias(n) for i, n in enumerate(names)])
     return reshape.melt(wide, ["target"], names, "regulator", "weight")
 
 

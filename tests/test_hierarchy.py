@@ -55,7 +55,7 @@ def test_recursion_matches_brute_force(spark):
     rows = []
     for i in range(400):  # one task holds most rows: long chains, stars, circles
         task = "hot" if i % 3 else f"t{i % 7}"
-        p = f"n{rnd.randrange(max(1, i - 4), i + 1)}" if rnd.random() < 0.93 else rnd.choice([None, "NA", "", "missing", f"n{min(399, i + 5)}"])
+        p = f"n{rnd.randrange(max(0, i - 4), i + 1)}" if rnd.random() < 0.93 else rnd.choice([None, "NA", "", "missing", f"n{min(399, i + 5)}"])
         rows.append((i, task, f"n{i}", p, 1.0, rnd.randrange(3), ""))
     rows += [(1000 + i, "ring", f"k{i}", f"k{(i + 1) % 60}", 1.0, 1, "") for i in range(60)] + [(2000, "ring", "tail", "k3", 1.0, 1, "")]
     want = brute(rows)

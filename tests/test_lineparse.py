@@ -62,7 +62,7 @@ def test_free_parse_against_naive(line):
         (' true \t"m"\tNA\tNA\t"a ""b"" c"', 0, []),
         ("TRUE\tm\tS1\t-0\tS2", 0, []),
         ("TRUE\tm\tS1\tx\tS2", 3, ["invalid del.t 'x'"]),
-        ("TRUE\tm\tS1\t10\tS2\"", 2, ["delete quote at 17"]),
+        ("TRUE\tm\tS1\t10\tS2\"", 2, ["delete quote at 16"]),
         ("TRUE\tm\tS1\t10\t\"S2", 2, ["quote"]),
         ("TRUEm\tS1\t10\tS2", 2, ["insert delimiter at 5"]),
         ("TRUE\tm\tS1\t\t10\tS2", 2, ["delete delimiter"]),
