@@ -24,7 +24,7 @@ def p3_ranking(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "results_processor").select("task", "target", "regulator", F.abs(ranks.finite(F.col("betas"))).alias("b"), ranks.finite(F.col("rescaled_betas")).alias("r"))
     edges = rows.groupBy("task", "target", "regulator").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY b)").alias("beta_score"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY r)").alias("rescaled_score"))
     edges = materialize(edges, "edges")
-    ranked = ranks.borda(edges, ids=["task", "target", "regulator"], scope="task", scores={"beta_score": 1.0, "rescaled_score": 1.0})
+    ranked = ranks.borda(edges, scope="task", scores={"beta_score": 1.0, "rescaled_score": 1.0})
     order = [F.desc("borda"), F.asc_nulls_last("task"), F.asc_nulls_last("target"), F.asc_nulls_last("regulator")]
     return ranks.numbered(ranked.select("task", "target", "regulator", "borda"), order).select("task", "target", "regulator", F.round("borda", 9).alias("borda"), F.col("position").cast("long").alias("position"))
 

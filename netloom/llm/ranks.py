@@ -14,17 +14,15 @@ Defined results
 * null, NaN and infinite scores are missing: 0.5 points. A scope with one scored item gives
   it 0.5 points. Zero is a score.
 * a null scope is a scope of its own. Empty table: empty result.
-* repeated items: combine them before (``best_of`` does); the sort ends with the identifier columns,
-  so the order is total.
+* repeated items: combine them before; the sort ends with the identifier columns, so the order is total.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.session import materialize, parallelism
+from netloom.operators import ordering
 
 
 def finite(c: Column) -> Column:
@@ -32,35 +30,15 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v + F.lit(0.0))
 
 
-def ranged(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """``df`` spread by range of the keys and stored, with its part in ``_part``."""
-    parts = parallelism(df.sparkSession)
-    return materialize(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), name)
-
-
-def before(parts: DataFrame, scope: list[str], amount: Column) -> DataFrame:
-    """(_part, scope..., _before): what earlier parts of a scope add up to; a row per part and scope."""
-    w = W.partitionBy(*scope).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    return parts.groupBy("_part", *scope).agg(amount.alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
-
-
 def points(df: DataFrame, scope: str, value: str) -> DataFrame:
     """(scope, value, points) for each distinct value: 1 for the highest, 0 for the lowest rank."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(scope, value).agg(F.count(F.lit(1)).alias("n"))
-    spread = ranged(counts, [F.col(scope), F.col(value)], "ranks")
-    totals = counts.groupBy(scope).agg(F.sum("n").alias("m"))
-    offset = before(spread, [scope], F.sum("n"))
-    w = W.partitionBy("_part", scope).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    same = lambda a, b, c: a[c].eqNullSafe(b[c])
-    run = spread.withColumn("_below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    o, t = offset.withColumnRenamed(scope, "_s1").withColumnRenamed("_part", "_p1"), totals.withColumnRenamed(scope, "_s2")
-    run = run.join(o, (F.col("_part") == F.col("_p1")) & F.col(scope).eqNullSafe(F.col("_s1"))).join(t, F.col(scope).eqNullSafe(F.col("_s2")))
-    below = F.col("_below") + F.col("_before")  # items ranked lower; ties share the average
-    share = (below + (F.col("n") - 1) / 2) / (F.col("m") - 1)
-    return run.select(scope, value, F.when(F.col("m") > 1, share).otherwise(0.5).alias("points"))
+    ranks = ordering.average_ranks(df, scope=[scope], value=value, name="_rank")
+    totals = df.where(F.col(value).isNotNull()).groupBy(F.col(scope).alias("_s2")).agg(F.count(F.lit(1)).alias("_m"))
+    share = (F.col("_rank") - 1) / (F.col("_m") - 1)
+    return ranks.join(totals, F.col(scope).eqNullSafe(F.col("_s2"))).select(scope, value, F.when(F.col("_m") > 1, share).otherwise(0.5).alias("points"))
 
 
-def borda(df: DataFrame, *, ids: list[str], scope: str, scores: dict[str, float]) -> DataFrame:
+def borda(df: DataFrame, *, scope: str, scores: dict[str, float]) -> DataFrame:
     """``df`` with ``<score>_points`` and ``borda`` (the weighted sum, to 12 places)."""
     out = df
     for c in scores:
@@ -75,9 +53,4 @@ def borda(df: DataFrame, *, ids: list[str], scope: str, scores: dict[str, float]
 
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """``df`` with the place of each row in a total order, without one task seeing all rows."""
-    spread = ranged(df, order, "order")
-    offset = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per part: bounded by the number of partitions
-    offset = offset.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(F.col("_part").alias("_p"), "_before")
-    w = W.partitionBy("_part").orderBy(*order)
-    return spread.withColumn(name, F.row_number().over(w)).join(F.broadcast(offset), F.col("_part") == F.col("_p")).withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_p", "_before")
+    return ordering.numbered(df, scope=[], order=order, name=name)
