@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import kernels
+from netloom.functions.normalize import Preprocessing
+from netloom.operators.activity import pinv_activity
 from netloom.operators.aggregates import multiply
+from netloom.sources.writers import load_model
 
 
 def predict_static(activity: DataFrame, coefficients: DataFrame, obs: str = "obs_id") -> DataFrame:
@@ -28,6 +31,36 @@ def trim_model(coefficients: DataFrame, targets: list[str] | None = None, regula
     return coefficients
 
 
+class Estimator:
+    """A fitted network as transformer (expression to activity) and predictor (activity to expression)."""
+
+    def __init__(self, coefficients: DataFrame, scaling: Preprocessing = Preprocessing()):
+        self.coefficients, self.scaling = coefficients, scaling
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Estimator:
+        """A model that ``Result.save`` wrote, with its preprocessing."""
+        tables, settings = load_model(spark, folder, ["coefficients"])
+        return cls(tables["coefficients"], Preprocessing(*(tuple(settings[k]) for k in ("predictors", "response", "activity"))))
+
+    def fit(self, *_: object) -> Estimator:
+        raise NotImplementedError("a saved network is not fitted again")
+
+    def trim(self, targets: list[str] | None = None, regulators: list[str] | None = None) -> Estimator:
+        return Estimator(trim_model(self.coefficients, targets, regulators), self.scaling)
+
+    def transform(self, expression: DataFrame) -> DataFrame:
+        """(obs_id, regulator, activity) through the pseudo-inverse of the coefficients."""
+        prior = self.coefficients.select("target", "regulator", F.col("beta").alias("weight"))
+        return pinv_activity(self.scaling.apply("activity", expression), prior, keep_self=True)
+
+    def predict(self, activity: DataFrame) -> DataFrame:
+        return predict_static(activity, self.coefficients)
+
+    def transform_predict(self, expression: DataFrame) -> DataFrame:
+        return self.predict(self.transform(expression))
+
+
 def predict_dynamic(activity: DataFrame, coefficients: DataFrame, *, series: str, time: str, decay: float = 0.0, step_time: float = 1.0, dt: float = 0.1) -> DataFrame:
     """(series, time, target, value): forward Euler along each series; series run in parallel.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import normalize
-from netloom.operators import activity, aggregates, information, networks, predict, regress, reshape, sampling, scoring, simulate, timeseries, velocity
+from netloom.operators import activity, aggregates, information, matrix, networks, predict, regress, reshape, sampling, scoring, simulate, timeseries, velocity
 from netloom.plans.tables import confidences, expression, gold, known, prior, sheet, sql, stack, table, vectors
 from netloom.session import materialize
 
@@ -688,3 +688,32 @@ def simulate_counts(spark, sf):
 @query()
 def simulate_values(spark, sf):
     return simulate.noisy_values(materialize(vectors(spark, sf), "v")).select("obs_id", "feature", r("value"))
+
+
+@query()
+def estimator_round_trip(spark, sf):
+    """Activity from a model's pseudo-inverse, and the expression it predicts."""
+    model = spark.createDataFrame([(f"d{i + 8:02d}", f"d{j:02d}", float((i * 7 + j * 3) % 5 - 2)) for i in range(20) for j in range(8)], "target string, regulator string, beta double")
+    return predict.Estimator(model).transform_predict(vectors(spark, sf)).select("obs_id", "target", r("value"))
+
+
+# --- matrices -------------------------------------------------------------------------------------
+
+
+@query("SELECT l_partkey AS feature, sum(l_quantity) AS total, round(sum(l_quantity) / n + 1.234e-9, 6) AS mean, round(sqrt(greatest(sum(l_quantity * l_quantity) - n * (sum(l_quantity) / n) ** 2, 0) / (n - 1)) + 1.234e-9, 6) AS sd FROM (SELECT l_partkey, l_orderkey, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL), (SELECT count(DISTINCT l_orderkey)::DOUBLE AS n FROM lineitem) GROUP BY l_partkey, n")
+def sparse_moments(spark, sf):
+    """Part by order, absent cells being zero."""
+    cells = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("obs_id"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").alias("value"))
+    return matrix.Matrix(cells).moments().select("feature", "total", r("mean"), r("sd"))
+
+
+@query("""WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS obs_id, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) SELECT obs_id, feature, value FROM (UNPIVOT w ON p_size, p_retailprice INTO NAME feature VALUE value)""")
+def matrix_from_wide(spark, sf):
+    """Numeric columns of a wide table become cells, the others the rows' sheet."""
+    return matrix.Matrix.from_wide(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), "p_partkey").cells
+
+
+@query(sql("v", "SELECT v.*, CAST(label AS VARCHAR) AS task FROM v JOIN embeddings ON vec_id = obs_id WHERE label IS NOT NULL"))
+def split_by_column(spark, sf):
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("obs_id"), "label")
+    return matrix.split_by_column(vectors(spark, sf), labels, "label")

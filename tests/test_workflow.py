@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.functions.normalize import Chain
 from netloom.operators import predict
@@ -16,7 +17,7 @@ def toy(spark):
     return Data(e, g, g, spark.createDataFrame([("gene3",), ("gene6",)], "r string"))
 
 
-@pytest.mark.parametrize("spec", [Spec(), Spec(clr_only=True, workflow="base", activity="none"), Spec(regression="elasticnet", activity="none")], ids=["bbsr", "clr", "ols"])
+@pytest.mark.parametrize("spec", [Spec(), Spec(clr_only=True), Spec(regression="elasticnet")], ids=["bbsr", "clr", "net"])
 def test_single_task(toy, spec):
     r = infer(toy, spec)
     assert r.score.first()[0] == pytest.approx(1) and r.confidences.count() == 8  # the published score of this toy
@@ -55,6 +56,10 @@ def test_grid_and_samples(spark, toy, tmp_path):
     r = runs[1][1]
     r.write(str(tmp_path), {"curve": None})
     r.save(str(tmp_path / "model"))
+    e = predict.Estimator.load(spark, str(tmp_path / "model"))
+    assert e.scaling == r.spec.scaling and e.transform_predict(toy.expression).count() > 0
+    with pytest.raises(NotImplementedError):
+        e.fit(toy.expression)
     back, settings = writers.load_model(spark, str(tmp_path / "model"), ["coefficients"])
     assert back["coefficients"].count() == r.coefficients.count() and settings["regression"] == "bbsr"
     assert sorted(p.name for p in tmp_path.iterdir()) == ["combined_confidences.tsv.gz", "model", "model_coefficients.tsv.gz", "network.tsv"]
@@ -107,3 +112,26 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.raw_id: r.parse_cost for r in spark.sql("select * from parsed").collect()}[1] == 0
+
+
+def test_matrix_and_checks(spark):
+    from netloom.functions import checks
+    from netloom.operators.matrix import Matrix, split_by_column
+
+    wide = spark.createDataFrame([("s1", 1, 0.0, "A"), ("s2", 0, 4.0, "B")], "id string, x int, y double, batch string")
+    m = Matrix.from_wide(wide, "id")
+    assert m.shape() == (2, 2) and m.obs.columns == ["obs_id", "batch"] and m.sparse().cells.count() == 2 and m.sparse().dense().cells.count() == 4
+    assert {r.feature: (r.total, r.mean) for r in m.sparse().moments().collect()} == {"x": (1, 0.5), "y": (4, 2)}
+    assert m.subset(["s1"], ["y"]).cells.count() == 1
+    more = m.with_sheet(spark.createDataFrame([("s1", "C", 1), ("s9", "D", 2)], "obs_id string, batch string, n int"))
+    assert {r.obs_id: (r.batch, r.n) for r in more.obs.collect()} == {"s1": ("C", 1), "s2": (None, None)}
+    assert m.dot(spark.createDataFrame([("x", "k", 2.0), ("y", "k", 1.0)], "feature string, column string, value double")).count() == 2
+    assert split_by_column(m.cells, m.obs, "batch").select("task").distinct().count() == 2
+    assert Matrix.from_wide(wide, "id", features_are_rows=True).features.count() == 2
+    assert checks.in_range(1, 0, 2) == 1 and checks.one_of("a", ["a"]) == "a" and checks.of_type(None, int, none=True) is None and checks.subclass_of(bool, int)
+    checks.aligned(m.cells, m.obs, "obs_id")
+    checks.unique(m.cells, ["obs_id", "feature"])
+    checks.finite(m.cells)
+    for bad in (lambda: checks.in_range(3, 0, 2), lambda: checks.in_range("x"), lambda: checks.in_range(1.5, integer=True), lambda: checks.one_of("b", ["a"]), lambda: checks.of_type(1, str), lambda: checks.subclass_of(1, int), lambda: checks.a_path("/no/such"), lambda: checks.unique(m.cells, ["obs_id"]), lambda: checks.finite(m.cells.withColumn("value", F.lit(None).cast("double"))), lambda: checks.aligned(m.cells, wide.withColumnRenamed("id", "obs_id").limit(1), "obs_id")):
+        with pytest.raises(ValueError):
+            bad()
