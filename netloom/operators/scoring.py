@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netloom.operators.ordering import running_totals
+from netloom.session import materialize
 
 CONF = "combined_confidences"
 
@@ -84,14 +85,14 @@ def f1_curve(curve: DataFrame) -> DataFrame:
 
 def best_f1(curve: DataFrame) -> DataFrame:
     """One row: greatest F1 and the least confidence that has it."""
-    return f1_curve(curve).groupBy("f1").agg(F.min(CONF).alias("confidence")).orderBy(F.desc("f1")).limit(1).select(F.col("f1").alias("max_f1"), F.col("confidence").alias("f1_confidence"))
+    top = f1_curve(curve).agg(F.max(F.struct("f1", (-F.col(CONF)).alias("c"))).alias("m"))
+    return top.select(F.col("m.f1").alias("max_f1"), (-F.col("m.c")).alias("f1_confidence"))
 
 
 def best_mcc(mcc: DataFrame) -> DataFrame:
     """One row: the value farthest from zero, and the least confidence with the greatest value."""
-    far = mcc.agg(F.max_by("mcc", F.abs("mcc")).alias("max_mcc"))
-    top = mcc.groupBy("mcc").agg(F.min(CONF).alias("confidence")).orderBy(F.desc("mcc")).limit(1).select(F.col("confidence").alias("mcc_confidence"))
-    return far.crossJoin(F.broadcast(top))
+    top = mcc.agg(F.max_by("mcc", F.abs("mcc")).alias("max_mcc"), F.max(F.struct("mcc", (-F.col(CONF)).alias("c"))).alias("m"))
+    return top.select("max_mcc", (-F.col("m.c")).alias("mcc_confidence"))
 
 
 def edges_over(curve: DataFrame, column: str, threshold: float) -> DataFrame:
@@ -108,12 +109,12 @@ class Metric:
     scorer: object
 
     def score(self, confidences: DataFrame, gold: DataFrame, method: str = "keep_all_gold_standard") -> DataFrame:
-        return self.scorer(scored(attach_gold(confidences, gold), method))
+        return self.scorer(materialize(scored(attach_gold(confidences, gold), method), "scored"))
 
 
 def _combined(rows: DataFrame) -> DataFrame:
-    curve = precision_recall(rows)
-    return aupr(curve).crossJoin(F.broadcast(best_f1(curve))).crossJoin(F.broadcast(best_mcc(mcc_curve(rows))))
+    curve, mcc = materialize(precision_recall(rows), "curve"), mcc_curve(rows)  # the curve is read twice
+    return aupr(curve).crossJoin(F.broadcast(best_f1(curve))).crossJoin(F.broadcast(best_mcc(mcc)))
 
 
 METRICS = {

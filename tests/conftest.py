@@ -10,6 +10,6 @@ from netloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(4, 4, memory="3g")
+    s = local_session(2, 2, memory="3g")
     yield s
     s.stop()
