@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from netloom.session import parallelism, shared_path
 
-ROW_GROUP_BYTES = 1 << 20
+ROW_GROUP_BYTES = 1 << 18
 
 
 def cluster(df: DataFrame, *, group: Column, item: Column, score: Column, share: float = 0.01, salts: int | None = None) -> str:
