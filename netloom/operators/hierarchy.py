@@ -141,7 +141,30 @@ def descendants(resolved: DataFrame) -> DataFrame:
     """(scope, node, descendant, steps): all later nodes of every node, as rows.
 
     Read off the paths, so without a join; rows, as a root may have any number of descendants.
-    Nodes in or below a circle have no path and give no rows.
+    Nodes in or below a circle have no path and give no rows here but in ``circle_descendants``.
     """
     up = resolved.where(F.col("depth") > 0).select("scope", F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("path", 1, F.col("depth"))).alias("pos", "node"))
     return up.select("scope", "node", "descendant", (F.col("depth") - F.col("pos")).alias("steps"))
+
+
+def circle_descendants(resolved: DataFrame) -> DataFrame:
+    """(scope, node, descendant, steps): all later nodes of every node in or below a circle, as rows.
+
+    Each pair of different nodes counts once, with the fewest steps; no node is later than itself. By doubling:
+    ``near`` holds all earlier nodes up to ``reach`` steps back, ``jump`` the node ``reach`` steps back. It ends with
+    the first round that adds nothing, as a chain gives new nodes without a gap until it meets itself.
+    """
+    jump = materialize(resolved.where("in_cycle").select("scope", F.col("node").alias("descendant"), F.col("parent").alias("node")), "circles")
+    near = jump.where(F.col("node") != F.col("descendant")).select("scope", "node", "descendant", F.lit(1).alias("steps"))
+    known, reach = near.count(), 1
+    while known:
+        at = jump.select(F.col("scope").alias("s1"), F.col("descendant").alias("from"), F.col("node").alias("via"))
+        far = near.join(at, near["scope"].eqNullSafe(at["s1"]) & (F.col("descendant") == F.col("via"))).where(F.col("node") != F.col("from"))
+        far = far.select("scope", "node", F.col("from").alias("descendant"), (F.col("steps") + reach).alias("steps"))
+        wider = materialize(near.unionByName(far).groupBy("scope", "node", "descendant").agg(F.min("steps").alias("steps")), f"near{reach}")
+        if (found := wider.count()) == known:
+            break
+        on = jump.join(at.withColumnRenamed("via", "next"), jump["scope"].eqNullSafe(at["s1"]) & (F.col("node") == F.col("from")))
+        jump = materialize(on.select("scope", "descendant", F.col("next").alias("node")), f"jump{reach}")
+        near, known, reach = wider, found, 2 * reach
+    return near

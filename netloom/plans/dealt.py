@@ -54,7 +54,9 @@ def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.descendants(_resolved(spark, sf)).select(F.col("scope").alias("task"), F.col("node").alias("cond_name"), F.col("descendant").alias("later_name"), F.col("steps").cast("long").alias("steps"))
+    """All later samples of every condition; ``ORACLE`` starts from the roots and lacks those of nodes in or below a circle."""
+    resolved = _resolved(spark, sf)
+    return hierarchy.descendants(resolved).unionByName(hierarchy.circle_descendants(resolved)).select(F.col("scope").alias("task"), F.col("node").alias("cond_name"), F.col("descendant").alias("later_name"), F.col("steps").cast("long").alias("steps"))
 
 
 def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 import random
 
 from netloom.operators import hierarchy
+from netloom.plans import dealt
 
 SCHEMA = "row_id long, task string, condName string, prevCol string, w double, loaded_at int, path string"
 
@@ -67,3 +68,26 @@ def test_recursion_matches_brute_force(spark):
 
 def test_empty(spark):
     assert run(spark, []).count() == 0
+
+
+def test_later_samples_in_and_below_circles(spark, tmp_path):
+    links = {"x": "y", "y": "z", "z": "x", "self": "self", "under": "self", "b1": "x", "b2": "b1", "b3": "b2", "b4": "b2", "r": None, "c": "r"}
+    rows = [(i, task, n, p, 1.0, 1, "x") for i, (task, (n, p)) in enumerate((t, link) for t in ("a", None) for link in links.items())]
+    rows += [(100 + i, "ring", f"k{i}", f"k{(i + 1) % 21}", 1.0, 1, "x") for i in range(21)]
+    up = {(task, n): p for _, task, n, p, *_ in rows}
+    want = set()
+    for task, n in up:  # each chain step by step until it ends or meets itself
+        here, seen, steps = up[task, n], {n}, 1
+        while here is not None and (here not in seen):
+            want.add((task, here, n, steps))
+            seen.add(here)
+            here, steps = up[task, here], steps + 1
+    got = [tuple(r) for r in hierarchy.circle_descendants(run(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {w for w in want if w[1] not in ("r",)}
+    spark.createDataFrame(rows, SCHEMA).withColumnRenamed("w", "del.t").write.parquet(str(tmp_path / "meta_data.parquet"))
+    whole = [tuple(r) for r in dealt.p2_descendants(spark, str(tmp_path)).collect()]
+    assert len(whole) == len(set(whole)) and set(whole) == want
+
+
+def test_no_circles_no_circle_rows(spark):
+    assert hierarchy.circle_descendants(run(spark, [(1, "a", "r", None, 1.0, 1, "x"), (2, "a", "c", "r", 1.0, 1, "x")])).count() == 0
