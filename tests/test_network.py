@@ -156,6 +156,27 @@ def test_ancestors_in_a_window(spark):
     assert timeseries.first_ancestor(link, least=3.0, most=4.0).count() == 0
 
 
+def test_ancestors_of_long_walks_and_circles(spark):
+    rows = [(f"s{i}", f"s{i - 1}" if i else None, 0.1) for i in range(400)]  # 0.1 added up has 150 or 151 links to 15
+    rows += [("zero1", "zero2", 0.0), ("zero2", "zero1", 0.0), ("below", "zero1", 5.0), ("near", "below", 10.0)]
+    rows += [("ring1", "ring2", 0.07), ("ring2", "ring1", 0.0), ("self", "self", 0.25), ("far", "s399", 14.95), ("jump", "s9", 90.0)]
+    up = {o: (p, dt) for o, p, dt in rows if p is not None}
+    want = {}
+    for o in up:
+        here, total = o, 0.0
+        for _ in range(1000):
+            if here not in up or total >= 15.0:
+                break
+            here, dt = up[here]
+            total += dt
+        if 15.0 <= total <= 60.0:
+            want[o] = (here, total)
+    link = spark.createDataFrame(rows, "obs_id string, prev string, dt double")
+    got = [(r.obs_id, (r.prev, r.dt)) for r in timeseries.first_ancestor(link, least=15.0, most=60.0).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert {"s399", "ring1", "self", "far", "near"} <= set(want) and not {"zero1", "below", "s100", "jump"} & set(want)
+
+
 def test_neighbours(spark):
     meta = spark.createDataFrame([("a", 0.0, "t1"), ("a", 3.0, "t2"), ("a", 5.0, "t3"), ("a", 10.0, "t4"), ("b", float("nan"), "x")], "strain string, time double, condName string")
     got = {r.obs_id: (r.prev, r.dt_prev, r.next) for r in timeseries.neighbours(meta).collect()}
