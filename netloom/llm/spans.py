@@ -1,14 +1,14 @@
-"""Long exact spans shared between records, by a relative parse against indexed blocks.
+"""Long exact spans shared between records, by minimizer seeds and compared windows.
 
 The corpus is its own reference. Its index holds, for every window of ``length`` characters,
 the k-gram (half that length) with the least hash, so any stretch of ``length`` equal characters in two
-texts contains an entry of both, at the same place of the stretch. The index is cut by hash into blocks; a
-block holds its k-grams with the characters around them. Every document is factored against every
-block that holds one of its entries: from the entry the factor is extended as far as it
-goes on either side, up to the stretch still needed. A factor of at least
-``length`` is a duplicate span. At the factor's left boundary the character
-before is compared: a pair is given only where its factor begins, so a long
-copy doesn't repeat its pairs at each of its entries.
+texts contains an entry of both, at the same place of the stretch. Equal k-grams meet with the characters
+around them; for each offset the window may have around the k-gram, windows of ``length`` are grouped by
+hash, and equal ones are duplicate spans. The character before the window is compared: a pair is given only
+where it differs, so a long copy doesn't repeat its pairs at each of its entries.
+
+This stands in place of a relative parse: nothing is factored or extended, as factoring every document
+against every block is quadratic in the corpus.
 
 Scale: only entries that occur in more than one document travel on with their surroundings (about three times the k-gram);
 whole texts never meet. k-grams above ``hot_rows`` occurrences (boilerplate) are re-keyed by four longer
