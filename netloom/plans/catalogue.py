@@ -574,7 +574,7 @@ def elastic_net_network(spark, sf):
 
 @query()
 def stars_network(spark, sf):
-    return _fit(spark, sf, regress.stars_fit(folds=5))
+    return _fit(spark, sf, regress.stars_fit())
 
 
 @query()

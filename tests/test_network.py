@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import normalize
 from netloom.operators import activity, aggregates, information, networks, reshape, sampling, scoring, timeseries, velocity
+from netloom.plans import catalogue
 
 
 def long(spark, rows, columns, names=None, value="double"):
@@ -139,6 +140,13 @@ def test_no_and_ridge_activity(spark):
     assert got["s0"] == pytest.approx(2 / 1.01)
 
 
+def test_stars_query_takes_the_default_subsamples(monkeypatch):
+    monkeypatch.setattr(catalogue, "_fit", lambda spark, sf, fit, replicates=0: fit)
+    x = np.random.default_rng(0).normal(size=(10, 2))
+    with pytest.raises(ValueError, match="20 subsamples of 10"):
+        catalogue.stars_network(None, "")(x, x[:, 0], np.ones(2))
+
+
 # --- time series -------------------------------------------------------------------------------------
 
 
