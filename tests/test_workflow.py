@@ -3,9 +3,9 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.functions.normalize import Chain
+from netloom.functions.normalize import Chain, Preprocessing
 from netloom.operators import predict
-from netloom.plans.workflow import Data, Spec, grid_search, infer, sample_runs
+from netloom.plans.workflow import Data, Spec, grid_search, infer, regulator_activity, sample_runs
 from netloom.sources import readers, writers
 from tests.test_network import BATCH, GENES, TOY, long, net
 
@@ -136,3 +136,16 @@ def test_matrix_and_checks(spark):
     for bad in (lambda: checks.in_range(3, 0, 2), lambda: checks.in_range("x"), lambda: checks.in_range(1.5, integer=True), lambda: checks.one_of("b", ["a"]), lambda: checks.of_type(1, str), lambda: checks.subclass_of(1, int), lambda: checks.a_path("/no/such"), lambda: checks.unique(m.cells, ["obs_id"]), lambda: checks.finite(m.cells.withColumn("value", F.lit(None).cast("double"))), lambda: checks.aligned(m.cells, wide.withColumnRenamed("id", "obs_id").limit(1), "obs_id")):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.mark.parametrize("part", ["predictors", "response"])
+def test_scaling_the_models_do_not_carry_out_is_refused(part):
+    with pytest.raises(ValueError, match="z-scores"):
+        Spec(scaling=Preprocessing().with_(**{part: ("robustscaler", 2.0)}))
+
+
+def test_activity_scaling_reaches_the_half_response(toy):
+    rows = toy.expression.select(F.col("obs_id").alias("cond"), "feature", F.col("value").alias("design"), F.col("value").alias("response"), (F.col("value") * 3 + 5).alias("half_response"))
+    spec = Spec(scaling=Preprocessing().with_(activity="zscore"))
+    got = [{(r.cond, r.regulator): r.value for r in regulator_activity(d, toy.prior, toy, spec, []).collect()} for d in (rows, rows.withColumn("half_response", F.col("design")))]
+    assert got[0] and got[0] == pytest.approx(got[1])  # z-scores forget scale and shift
