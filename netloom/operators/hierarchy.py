@@ -6,11 +6,11 @@ far fewer nodes, which is solved the same way, recursively; its paths are then p
 the fragments' own. A chain that never ends is seen as a circle inside one partition, at
 whatever level all of it meets in one.
 
-Placement: nodes of a small scope (task) share a partition; scopes above ``fragment_rows``
-are cut by ``locality``, an expression that links within a chain tend to agree on. From
+Placement: nodes of a small scope (task) share a partition, and so many partitions are made that each holds about
+``fragment_rows``; scopes above that are cut by ``locality``, an expression that links within a chain tend to agree on. From
 the second level on a node moves, by a coin of its key, to its parent's partition, so every
 level shrinks the quotient by about a quarter of its linked nodes whatever the shape, and
-the recursion ends. What one task holds is bounded by about ``final_rows``.
+the recursion ends. What one task holds is bounded by about ``fragment_rows``, and ``final_rows`` at the end.
 
 Defined results
 ---------------
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.session import materialize, parallelism
+from netloom.session import materialize
 
 NODE = "scope string, node string, parent string, seg array<string>, w double"
 LOCAL = "scope string, node string, parent string, frag string, fseg array<string>, fw double, lpath array<string>, lsum double, exit_parent string, in_cycle boolean"
@@ -66,7 +66,9 @@ def contract(pdf: pd.DataFrame) -> pd.DataFrame:
 def _solve(nodes: DataFrame, part: Column | None, level: int, fragment_rows: int, final_rows: int) -> DataFrame:
     """(scope, node, path, total, in_cycle) for every node; path null in or below a circle."""
     n = nodes.count()
-    last = n <= (fragment_rows if level == 0 else final_rows)
+    last = level > 0 and n <= final_rows  # a quotient that one task holds
+    if n == 0:
+        return nodes.select("scope", "node", F.col("seg").alias("path"), F.col("w").alias("total"), F.lit(False).alias("in_cycle"))
     if last:
         placed = nodes.withColumn("part", F.lit(0))
     elif level == 0 and part is not None:
@@ -117,18 +119,18 @@ def current_nodes(df: DataFrame, *, scope: str, node: str, parent: str, weight:
     return joined.select("scope", "node", F.col("n1").alias("parent"), F.when(F.col("n1").isNotNull(), F.col("w")).otherwise(0.0).alias("w"))
 
 
-def resolve(df: DataFrame, *, scope: str, node: str, parent: str, weight: str | None = None, order: list[str], no_parent: tuple[str, ...] = ("NA",), locality: Column | None = None, fragment_rows: int = 20_000, final_rows: int = 200_000) -> DataFrame:
+def resolve(df: DataFrame, *, scope: str, node: str, parent: str, weight: str | None = None, order: list[str], no_parent: tuple[str, ...] = ("NA",), locality: Column | None = None, fragment_rows: int = 20_000, final_rows: int = 20_000) -> DataFrame:
     """(scope, node, parent, path, root, depth, total, in_cycle), one row for each node.
 
     ``locality``: expression over ``node`` that linked nodes tend to share; it only steers
     the placement of scopes above ``fragment_rows``.
     """
     nodes = materialize(current_nodes(df, scope=scope, node=node, parent=parent, weight=weight, order=order, no_parent=no_parent).withColumn("seg", F.array("node")), "nodes")
-    # at most rows / fragment_rows scopes are large, so this side of the join is small by construction
-    large = nodes.groupBy("scope").count().where(F.col("count") > fragment_rows).select(F.col("scope").alias("big"), F.ceil(F.col("count") / F.lit(fragment_rows)).cast("int").alias("cuts"))
-    spread = nodes.join(F.broadcast(large), nodes["scope"].eqNullSafe(large["big"]), "left")
+    sizes = nodes.groupBy("scope").count()
+    large = sizes.where(F.col("count") > fragment_rows).select(F.col("scope").alias("big"), F.ceil(F.col("count") / F.lit(fragment_rows)).cast("int").alias("cuts"))
+    spread = nodes.join(large, nodes["scope"].eqNullSafe(large["big"]), "left")
     near = locality if locality is not None else F.col("node")
-    packs = F.lit(parallelism(df.sparkSession))
+    packs = F.lit(max(1, -(-nodes.count() // fragment_rows)))
     part = F.when(F.col("cuts").isNotNull(), F.concat_ws(":", F.lit("cut"), F.xxhash64("scope"), F.pmod(F.xxhash64(near), F.col("cuts")))).otherwise(F.concat_ws(":", F.lit("pack"), F.pmod(F.xxhash64("scope"), packs)))
     solved = _solve(spread.select("scope", "node", "parent", "seg", "w", part.alias("at")), F.col("at"), 0, fragment_rows, final_rows)
     up = nodes.select(F.col("scope").alias("s0"), F.col("node").alias("n0"), "parent")

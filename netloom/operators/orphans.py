@@ -1,15 +1,18 @@
 """References to records that do not exist.
 
-Parent keys are integers within a group: either ids, or the instants (microseconds) at which
-a named parent lives. Sorted, they are compressed into contiguous runs ``[first, last]``. A
+Parent keys are integers within a group. Sorted, they are compressed into contiguous runs ``[first, last]``. A
 reference is matched as-of to the run that starts last at or before it, and is an orphan if
 there is none or its key lies beyond the run's end.
 
-Scale: parent intervals are merged twice, first within salted parts of a group, so that a
-parent delivered a million times shrinks before its group meets. References are distinct
-rows before they meet the runs; groups with more than ``hot_rows`` of them are salted, and the runs
-of just these groups are copied to every salt. The list of hot groups holds at most rows / hot_rows
-entries.
+Named keys (``named_orphans``) get dense integers first: all names of parents and references are numbered in their order, so
+parents without a gap in between form one run, and a run ends only where a name is missing. References whose name
+lies beyond a run's end are orphans whatever their time; for the others the parents' lifetimes, as integers (microseconds),
+are compressed and matched in the same way within each name.
+
+Scale: names are numbered as distinct rows, spread by range. Parent intervals are merged twice, first within salted parts of a
+group, so that a parent delivered a million times shrinks before its group meets. References are distinct
+rows before they meet the runs; groups with more than ``hot_rows`` of them, and more than a thousandth of all, are salted, and the runs
+of just these groups are copied to every salt. So there are at most 1,000 of them.
 
 Defined results
 ---------------
@@ -25,7 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.operators.ordering import numbered
+from netloom.session import materialize
+
 OPEN = (1 << 63) - 1
+MOST_HOT = 1000
+BLOCK = 16  # bits of a dense key that stay in one task
 
 
 def runs(parents: DataFrame, group: list[str], first: Column, last: Column | None = None, salts: int = 16) -> DataFrame:
@@ -49,7 +57,9 @@ def unmatched(refs: DataFrame, parent_runs: DataFrame, group: list[str], key: st
     """The references without a run, with all their columns; null-safe in the group columns."""
     g = [f"_g{i}" for i in range(len(group))]
     keyed = refs.select("*", *[F.col(c).alias(a) for c, a in zip(group, g)], F.col(key).cast("long").alias("_at"))
-    hot = keyed.groupBy(*g).count().where(F.col("count") > hot_rows).select(*[F.col(a).alias(f"h{a}") for a in g])
+    sizes = keyed.groupBy(*g).count()
+    share = sizes.agg(F.sum("count").alias("_all"))  # one row
+    hot = sizes.crossJoin(F.broadcast(share)).where((F.col("count") > hot_rows) & (F.col("count") * MOST_HOT > F.col("_all"))).select(*[F.col(a).alias(f"h{a}") for a in g])  # at most MOST_HOT rows
     is_hot = lambda df: df.join(F.broadcast(hot), [F.col(a).eqNullSafe(F.col(f"h{a}")) for a in g], "left").withColumn("_hot", F.col(f"h{g[0]}").isNotNull()).drop(*[f"h{a}" for a in g])
     columns = refs.columns
     left = is_hot(keyed).select(*g, "_at", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_last"), F.struct(*columns).alias("_row"), F.when(F.col("_hot"), F.pmod(F.xxhash64("_at", *columns), F.lit(salts)).cast("int")).otherwise(0).alias("_salt"))
@@ -68,3 +78,35 @@ def orphans(refs: DataFrame, parents: DataFrame, *, group: list[str], ref_key: C
     known = list(dict.fromkeys([*out, *group]))
     asked = refs.select(*known, ref_key.cast("long").alias("_key")).distinct()
     return unmatched(asked, runs(parents, group, first, last), group, "_key", hot_rows).select(*out).distinct()
+
+
+def named_keys(refs: DataFrame, parents: DataFrame, group: list[str], key: str) -> DataFrame:
+    """(group..., key, id, block, is_parent): all names of both sides, numbered from 1 in their order."""
+    names = lambda df, flag: df.select(*group, key).distinct().withColumn("is_parent", F.lit(flag))
+    both = names(refs, 0).unionByName(names(parents, 1)).groupBy(*group, key).agg(F.max("is_parent").alias("is_parent"))
+    placed = numbered(both, scope=[], order=[*[F.col(c).asc_nulls_first() for c in group], F.col(key)], name="id")
+    return placed.withColumn("block", F.shiftright("id", BLOCK))
+
+
+def key_runs(keys: DataFrame) -> DataFrame:
+    """(block, first, last): the runs of the parents' dense keys; a run ends at a block's border at the latest."""
+    return runs(keys.where("is_parent = 1"), ["block"], F.col("id"))
+
+
+def named_orphans(refs: DataFrame, parents: DataFrame, *, group: list[str], key: str, at: str, first: str, last: str, out: list[str], hot_rows: int = 200_000) -> DataFrame:
+    """Distinct ``out`` columns of the references to a name (``key``, within ``group``) that no parent bears at that time.
+
+    ``refs``: group..., key, at (integer), out...; ``parents``: group..., key, first, last (integers; ``last`` null: open)."""
+    columns = list(dict.fromkeys([*group, key, at, *out]))
+    asked = refs.select(*columns).distinct()
+    keys = materialize(named_keys(asked, parents.where(F.col(key).isNotNull()), group, key), "keys")
+    gone = unmatched(keys.where("is_parent = 0").select("id", "block"), key_runs(keys), ["block"], "id", hot_rows)
+    on = lambda a, b: [a[c].eqNullSafe(b[f"k_{c}"]) for c in [*group, key]]
+    named = lambda df, *more: df.select(*[F.col(c).alias(f"k_{c}") for c in [*group, key]], *more)
+    lost = named(keys.join(gone.select("id"), "id", "left_semi"))
+    known = named(keys.where("is_parent = 1"), "id")
+    absent = asked.join(lost, on(asked, lost), "left_semi").select(*out)
+    timed = asked.join(known, on(asked, known)).select("id", F.col(at).alias("_key"), *out)
+    lives = parents.join(known, on(parents, known)).select("id", F.col(first).alias("_first"), F.col(last).alias("_last"))
+    late = unmatched(timed, runs(lives, ["id"], F.col("_first"), F.col("_last")), ["id"], "_key", hot_rows).select(*out)
+    return absent.unionByName(late).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import hierarchy, lineparse, orphans
+from netloom.session import materialize
 
 LAYOUTS = {"meta_data": lineparse.SAMPLE_SHEET, "gold_standard": lineparse.GOLD_STANDARD}
 
@@ -54,7 +55,7 @@ def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """All later samples of every condition; ``ORACLE`` starts from the roots and lacks those of nodes in or below a circle."""
+    """All later samples of every condition; in and below circles each pair of different conditions once, by the fewest steps."""
     resolved = _resolved(spark, sf)
     return hierarchy.descendants(resolved).unionByName(hierarchy.circle_descendants(resolved)).select(F.col("scope").alias("task"), F.col("node").alias("cond_name"), F.col("descendant").alias("later_name"), F.col("steps").cast("long").alias("steps"))
 
@@ -71,11 +72,24 @@ def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return refs, parents
 
 
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """A parent lives from its loading to the microsecond before its deletion."""
+def _lives(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """References and parents with times as microseconds; a parent lives from its loading to the microsecond before its deletion."""
     refs, parents = _references(spark, sf)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return orphans.orphans(refs, parents.where("missing_key is not null"), group=["task", "missing_key"], ref_key=micros("loaded_at"), first=micros("loaded_at"), last=micros("deleted_at") - 1, out=["ref_table", "period", "task", "missing_key"])
+    return refs.select("ref_table", "period", "task", "missing_key", micros("loaded_at").alias("at")), parents.where("missing_key is not null").select("task", "missing_key", micros("loaded_at").alias("first"), (micros("deleted_at") - 1).alias("last"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense integer keys of all names; those beyond a run of parents are missing, the others are tested against lifetimes."""
+    refs, parents = _lives(spark, sf)
+    return orphans.named_orphans(refs, parents, group=["task"], key="missing_key", at="at", first="first", last="last", out=["ref_table", "period", "task", "missing_key"])
+
+
+def p4_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the dense parent keys compress: names, parents and runs."""
+    refs, parents = _lives(spark, sf)
+    keys = materialize(orphans.named_keys(refs.where("missing_key is not null"), parents, ["task"], "missing_key"), "keys")
+    return keys.agg(F.count(F.lit(1)).alias("names"), F.sum("is_parent").alias("parents")).crossJoin(orphans.key_runs(keys).agg(F.count(F.lit(1)).alias("runs")))
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +105,7 @@ def p4_orders(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphans(refs, parents, group=["block"], ref_key=F.col("missing_key"), first=F.col("key"), out=["ref_table", "period", "missing_key"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_sheet_rows, p1_gold_rows, p2_found, p2_paths, p2_descendants, p4_found, p4_report, p4_orders)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_sheet_rows, p1_gold_rows, p2_found, p2_paths, p2_descendants, p4_found, p4_report, p4_runs, p4_orders)}
 
 _FIELDS = r"""
 WITH body AS (
@@ -154,9 +168,20 @@ ORACLE = {
     "p1_gold_rows": _FIELDS + "SELECT raw_id, f[1] AS target, " + ", ".join(f'CAST(try_cast(nullif(f[{i + 1}], \'NA\') AS DOUBLE) AS INTEGER) AS "G{i}"' for i in range(1, 21)) + " FROM judged WHERE ok AND source = 'gold_standard'",
     "p2_found": _TREE + "SELECT l.task, l.node AS cond_name, coalesce(t.root, '(cycle)') AS root_name FROM linked l LEFT JOIN tree t ON t.task = l.task AND t.node = l.node WHERE l.parent IS NOT NULL",
     "p2_paths": _TREE + "SELECT l.task, l.node AS cond_name, t.path, t.depth, round(t.total, 4) AS elapsed, t.root AS root_name, t.root IS NULL AS in_cycle FROM linked l LEFT JOIN tree t ON t.task = l.task AND t.node = l.node",
-    "p2_descendants": _TREE + "SELECT task, s.name AS cond_name, node AS later_name, depth + 1 - s.at AS steps FROM (SELECT task, node, depth, unnest(list_transform(steps[1:depth], lambda x, i: {'name': x, 'at': i})) AS s FROM tree)",
+    "p2_descendants": _TREE.rsplit(", tree AS", 1)[0] + """, up AS (
+        SELECT task, node, parent AS above, CAST(1 AS BIGINT) AS steps, [node, parent] AS met FROM linked WHERE parent IS NOT NULL AND parent <> node
+        UNION ALL SELECT u.task, u.node, l.parent, u.steps + 1, list_append(u.met, l.parent) FROM up u JOIN linked l ON l.task = u.task AND l.node = u.above
+        WHERE l.parent IS NOT NULL AND NOT list_contains(u.met, l.parent)
+      ) SELECT task, above AS cond_name, node AS later_name, steps FROM up""",
     "p4_found": _ORPHANS + "SELECT * FROM found",
     "p4_report": _ORPHANS + "SELECT ref_table, period, count(*) AS missing_keys, count(DISTINCT task) AS tasks FROM found GROUP BY ALL",
+    "p4_runs": """WITH k AS (SELECT task, name, max(p) AS p FROM (
+        SELECT task, trim(prevCol, ' ') AS name, 0 AS p FROM meta_data WHERE prevCol IS NOT NULL AND trim(prevCol, ' ') NOT IN ('', 'NA')
+        UNION ALL SELECT task, trim(obs_id, ' '), 0 FROM expression WHERE obs_id IS NOT NULL
+        UNION ALL SELECT task, trim(condName, ' '), 1 FROM meta_data WHERE condName IS NOT NULL) GROUP BY ALL
+      ), n AS (SELECT *, row_number() OVER (ORDER BY task NULLS FIRST, name) AS id FROM k),
+      r AS (SELECT id // 65536 AS b, id - row_number() OVER (PARTITION BY id // 65536 ORDER BY id) AS run FROM n WHERE p = 1)
+      SELECT (SELECT count(*) FROM n) AS names, (SELECT sum(p)::BIGINT FROM n) AS parents, (SELECT count(*) FROM (SELECT DISTINCT b, run FROM r)) AS runs""",
     "p4_orders": """SELECT DISTINCT 'orders' AS ref_table, strftime(o_orderdate, '%Y-%m') AS period, o_custkey AS missing_key FROM orders
       WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey <= 20)""",
 }

@@ -1,4 +1,7 @@
 import random
+from pathlib import Path
+
+import pytest
 
 from netloom.operators import hierarchy
 from netloom.plans import dealt
@@ -91,3 +94,18 @@ def test_later_samples_in_and_below_circles(spark, tmp_path):
 
 def test_no_circles_no_circle_rows(spark):
     assert hierarchy.circle_descendants(run(spark, [(1, "a", "r", None, 1.0, 1, "x"), (2, "a", "c", "r", 1.0, 1, "x")])).count() == 0
+
+
+def test_project_table_through_three_levels(spark, monkeypatch):
+    """The sample sheets of sf0.01, cut so finely that the quotient is contracted at least twice."""
+    sf = Path("/root/testdata/sf0.01")
+    if not sf.exists():
+        pytest.skip("no project tables here")
+    levels = []
+    solve = hierarchy._solve
+    monkeypatch.setattr(hierarchy, "_solve", lambda nodes, part, level, *a: levels.append(level) or solve(nodes, part, level, *a))
+    meta = spark.read.parquet(str(sf / "meta_data.parquet"))
+    run = lambda **kw: hierarchy.resolve(meta, scope="task", node="condName", parent="prevCol", weight="del.t", order=["loaded_at", "row_id"], **kw)
+    fine = {(r.scope, r.node): (r.path, r.in_cycle) for r in run(fragment_rows=60, final_rows=30).collect()}
+    assert max(levels) >= 2
+    assert fine == {(r.scope, r.node): (r.path, r.in_cycle) for r in run().collect()} and len(fine) > 1000

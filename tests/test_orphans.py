@@ -34,3 +34,19 @@ def test_empty_sides(spark):
     run = lambda r, p: orphans.orphans(r, p, group=["n"], ref_key=F.col("at"), first=F.col("s"), out=["n"]).collect()
     assert [x.n for x in run(r, p)] == ["a"]
     assert run(r.limit(0), p) == []
+
+
+def test_named_orphans_against_brute_force(spark):
+    rnd = random.Random(6)
+    name = lambda: "hot" if rnd.random() < 0.4 else rnd.choice(["a", "b", "gone", "c ", "z", ""])
+    parents = [(rnd.choice(["t", None]), rnd.choice(["hot", "a", "b", "c ", "x", None]), (s := rnd.randrange(100)), rnd.choice([None, s, s + rnd.randrange(30)])) for _ in range(60)]
+    refs = [(rnd.choice(["t", None, "u"]), name(), rnd.choice([None, rnd.randrange(120)]), "tab") for _ in range(600)]
+    p, r = spark.createDataFrame(parents, "g string, k string, s long, e long"), spark.createDataFrame(refs, "g string, k string, at long, tab string").withColumn("id", F.lit("clash"))
+    want = {(g, k, a) for g, k, a, _ in refs if a is None or not any(pg == g and pk == k and s <= a and (e is None or a <= e) for pg, pk, s, e in parents)}
+    for hot in (20, 10_000):
+        got = orphans.named_orphans(r, p, group=["g"], key="k", at="at", first="s", last="e", out=["g", "k", "at"], hot_rows=hot).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+    keys = orphans.named_keys(r, p.where("k is not null"), ["g"], "k").orderBy("id").collect()
+    assert [x.id for x in keys] == list(range(1, len(keys) + 1)) and [(x.g or "", x.k) for x in keys] == sorted((x.g or "", x.k) for x in keys)
+    assert len(orphans.named_orphans(r, p.limit(0), group=["g"], key="k", at="at", first="s", last="e", out=["g", "k"]).collect()) == len({x[:2] for x in refs})
+    assert orphans.named_orphans(r.limit(0), p, group=["g"], key="k", at="at", first="s", last="e", out=["k"]).count() == 0
