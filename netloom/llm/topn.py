@@ -1,14 +1,18 @@
 """Top N items within every group, by statistics-guided skipping.
 
-The rows are clustered by group into Parquet files sorted by group and descending score,
-with small row groups. One task takes one file: it reads the statistics in the footer, visits
-the row groups in descending order of their maximum score and skips a row group whose maximum is
-strictly below the current N-th score of every group it can contain. Groups that are
-large are cut over many files by item (an item's rows stay together), each of which is mostly skipped after its first row
-groups; the at most N survivors per file meet in one last selection.
+The rows are clustered by group into Parquet files, each sorted by descending score, so that a file's row groups hold
+ever lower scores of the same set of groups. One task takes one file: it visits the row groups in descending order of the
+maximum in their statistics. Of a row group it reads the group column first (by dictionary, a small part of the bytes): if every
+group in it already has N items and its maximum lies strictly below the least of their N-th scores, items and scores are never read.
+Else they are read, and rows below their own group's N-th score are dropped before items are compared.
 
-Which groups are large comes from a frequent-items sketch with at most ``1 / share`` entries,
-so that list is bounded; the result doesn't depend on it.
+Groups with more rows than a task should sort alone are cut over many files by item (an item's rows stay together), each of
+which is mostly skipped after its first row groups; the at most N survivors per file and group meet in one last selection.
+Which groups are that large comes from a frequent-items sketch: a group above rows / (4 x tasks) is certainly named, so
+the list has at most 4 x tasks entries; the result doesn't depend on it.
+
+What a task holds: N items for each group of its file and one row group; files have about ``FILE_ROWS`` rows at most. Groups with
+hardly more than N rows leave nothing to skip: their row groups all hold an item of somebody's first N.
 
 Defined results
 ---------------
@@ -33,22 +37,26 @@ from pyspark.sql import functions as F
 
 from netloom.session import parallelism, shared_path
 
-ROW_GROUP_BYTES = 1 << 18
+ROW_GROUP_BYTES = 64 << 20
+FILE_ROWS = 4_000_000
 
 
-def cluster(df: DataFrame, *, group: Column, item: Column, score: Column, share: float = 0.01, salts: int | None = None) -> str:
+def cluster(df: DataFrame, *, group: Column, item: Column, score: Column, share: float | None = None, row_group_bytes: int = ROW_GROUP_BYTES) -> str:
     """Write (g, i, s) clustered by group; the folder's path. Files ``hot=1`` hold parts of large groups."""
     spark = df.sparkSession
     rows = df.select(group.alias("g"), item.alias("i"), score.cast("double").alias("s")).where("g is not null and i is not null and s is not null and not isnan(s)")
-    frequent = rows.select("g").freqItems(["g"], share).first()[0] or []  # at most 1/share entries
-    width = parallelism(spark)
+    tasks = parallelism(spark)
+    share = share or max(1e-4, 1 / (4 * tasks))
+    seen = df.count()  # from the footers
+    frequent = rows.select("g").freqItems(["g"], share).first()[0] or []  # at most 1 / share entries
+    width = max(tasks, -(-seen // FILE_ROWS))
     hot = F.col("g").isin(list(frequent)) if frequent else F.lit(False)
-    salt = F.when(hot, F.pmod(F.xxhash64("i"), F.lit(salts or width)).cast("int")).otherwise(-1)
+    salt = F.when(hot, F.pmod(F.xxhash64("i"), F.lit(width)).cast("int")).otherwise(-1)
     path = shared_path(spark, "clustered")
     (
         rows.withColumn("hot", hot.cast("int")).withColumn("salt", salt)
-        .repartition(width, "g", "salt").sortWithinPartitions("hot", "g", F.desc("s")).drop("salt")
-        .write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("hot").parquet(path)
+        .repartition(width, "g", "salt").sortWithinPartitions("hot", F.desc("s")).drop("salt")
+        .write.option("parquet.block.size", row_group_bytes).partitionBy("hot").parquet(path)
     )
     return path
 
@@ -84,39 +92,39 @@ def read_top(path: str, n: int) -> tuple[pa.Table, int, int]:
     """Top n per group of one clustered file; row groups read and skipped."""
     fs, name = pyarrow.fs.FileSystem.from_uri(path)
     skipped = 0
+    kept = pa.table({"g": pa.array([], pa.string()), "i": pa.array([], pa.string()), "s": pa.array([], pa.float64())})
+    full, floor = pa.array([], pa.string()), np.zeros(0)  # groups that have n items, and their n-th scores
     with fs.open_input_file(name) as handle:
-        f = pq.ParquetFile(handle)
+        f = pq.ParquetFile(handle, read_dictionary=["g"])
         at = {f.schema_arrow.field(k).name: k for k in range(len(f.schema_arrow))}
-        bounds = []
-        for k in range(f.num_row_groups):
-            meta = f.metadata.row_group(k)
-            s, g = meta.column(at["s"]).statistics, meta.column(at["g"]).statistics
-            known = s is not None and s.has_min_max and g is not None and g.has_min_max
-            bounds.append((s.max if known else float("inf"), g.min if known else None, g.max if known else None, k))
-        # descending maximum; among equal ones the order of the file
-        kept: pa.Table | None = None
-        floor: dict = {}  # group -> current n-th score, for groups that have n items
-        for top, low, high, k in sorted(bounds, key=lambda b: (-b[0], b[3])):
-            # a range of groups may hold unseen ones: only a row group of one group can be skipped
-            if low is not None and low == high and low in floor and top < floor[low]:
+        stats = [f.metadata.row_group(k).column(at["s"]).statistics for k in range(f.num_row_groups)]
+        tops = [s.max if s is not None and s.has_min_max else float("inf") for s in stats]
+        for k in sorted(range(len(tops)), key=lambda k: (-tops[k], k)):  # descending maximum; among equal ones the order of the file
+            g = f.read_row_group(k, columns=["g"])["g"].combine_chunks()
+            names = pc.cast(g.dictionary, pa.string())
+            where = pc.index_in(names, full)
+            least = np.full(len(names), -np.inf)
+            known = ~np.asarray(pc.is_null(where))
+            least[known] = floor[np.asarray(pc.fill_null(where, 0))[known]]
+            codes = g.indices.to_numpy(zero_copy_only=False)
+            if len(codes) and tops[k] < least[codes].min():
                 skipped += 1
                 continue
-            fresh = best(f.read_row_group(k, columns=["g", "i", "s"]), n)
-            kept = fresh if kept is None else pa.concat_tables([kept, fresh])
-            # inner groups of the range lie in no other row group; only the outermost may go on
-            for edge in {low, high} - {None}:
-                mine = best(kept.filter(pc.equal(kept["g"], edge)), n)
-                if mine.num_rows == n:
-                    floor[edge] = mine["s"][n - 1].as_py()
-        out = best(kept, n) if kept is not None else pa.table({"g": pa.array([], pa.string()), "i": pa.array([], pa.string()), "s": pa.array([], pa.float64())})
-    return out, len(bounds) - skipped, skipped
-
-
-def top_n(df: DataFrame, *, group: str, item: str, score: str, n: int = 5, share: float = 0.01) -> DataFrame:
+            rest = f.read_row_group(k, columns=["i", "s"])
+            keep = rest["s"].to_numpy() >= least[codes]
+            fresh = pa.table({"g": pc.cast(g, pa.string()), "i": rest["i"], "s": rest["s"]}).filter(pa.array(keep))
+            if fresh.num_rows:
+                kept = best(pa.concat_tables([kept, fresh]), n)
+                last = kept.filter(pa.array(places(kept) == n - 1))
+                full, floor = last["g"].combine_chunks(), last["s"].to_numpy()
+    return kept, len(tops) - skipped, skipped
+
+
+def top_n(df: DataFrame, *, group: str, item: str, score: str, n: int = 5, share: float | None = None, row_group_bytes: int = ROW_GROUP_BYTES) -> DataFrame:
     """(group, item, score, place): place 1 is the highest."""
     spark = df.sparkSession
     q = lambda c: F.col(f"`{c}`")
-    path = cluster(df, group=q(group).cast("string"), item=q(item).cast("string"), score=q(score), share=share)
+    path = cluster(df, group=q(group).cast("string"), item=q(item).cast("string"), score=q(score), share=share, row_group_bytes=row_group_bytes)
     schema = "g string, i string, s double, place int"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +137,7 @@ def top_n(df: DataFrame, *, group: str, item: str, score: str, n: int = 5, share
         names = [(p,) for p, hot in listed if hot == which]
         if not names:
             return spark.createDataFrame([], schema)
-        return spark.createDataFrame(names, "path string").repartition(len(names), "path").mapInArrow(scan, schema)
+        return spark.createDataFrame(spark.sparkContext.parallelize(names, len(names)), "path string").mapInArrow(scan, schema)  # a file a task
 
     listed = files(spark, path)
     w = W.partitionBy("g").orderBy(F.desc("s"), "i")

@@ -76,17 +76,38 @@ def test_top_n_against_brute_force(spark):
     assert topn.top_n(df.limit(0), group="g", item="i", score="score").count() == 0
 
 
-def test_row_groups_below_the_threshold_are_skipped(spark, monkeypatch):
-    monkeypatch.setattr(topn, "ROW_GROUP_BYTES", 4096)
-    df = spark.range(200_000).select(F.lit("hot").alias("g"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("i"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e9).alias("s"))
-    path = topn.cluster(df, group=F.col("g"), item=F.col("i"), score=F.col("s"))
-    listed = topn.files(spark, path)
-    assert listed and all(hot == 1 for _, hot in listed)
+def skipping(df, n=5):
+    path = topn.cluster(df, group=F.col("g"), item=F.col("i"), score=F.col("s"), row_group_bytes=4096)
     read = skipped = 0
-    for p, _ in listed:
-        _, r, s = topn.read_top(p, 5)
+    for p, _ in topn.files(df.sparkSession, path):
+        _, r, s = topn.read_top(p, n)
         read, skipped = read + r, skipped + s
+    return read, skipped
+
+
+def scored(spark, rows, groups):
+    return spark.range(rows).select(F.concat(F.lit("g"), F.pmod("id", F.lit(groups))).alias("g"), F.concat(F.lit("r"), F.col("id")).alias("i"), (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e9).alias("s"))
+
+
+def test_row_groups_of_a_large_group_are_skipped(spark):
+    df = scored(spark, 200_000, 1)
+    read, skipped = skipping(df)
     assert skipped > 3 * read
     want = df.orderBy(F.desc("s"), "i").limit(5).toPandas()
-    got = topn.top_n(df, group="g", item="i", score="s", n=5).orderBy("place").toPandas()
+    got = topn.top_n(df, group="g", item="i", score="s", n=5, row_group_bytes=4096).orderBy("place").toPandas()
     pd.testing.assert_series_equal(got["i"], want["i"])
+
+
+def test_row_groups_below_every_contained_group_are_skipped(spark):
+    df = scored(spark, 200_000, 500)  # 400 rows each, many groups in each row group
+    read, skipped = skipping(df)
+    assert skipped > read
+    rows = [tuple(r) for r in df.collect()]
+    got = topn.top_n(df, group="g", item="i", score="s", n=5, row_group_bytes=4096).collect()
+    assert {tuple(r) for r in got} == brute_top(rows, 5)
+
+
+def test_equal_scores_are_never_skipped(spark):
+    df = scored(spark, 50_000, 3).withColumn("s", F.lit(0.5))
+    rows = [tuple(r) for r in df.collect()]
+    assert {tuple(r) for r in topn.top_n(df, group="g", item="i", score="s", n=5, row_group_bytes=4096).collect()} == brute_top(rows, 5)
