@@ -52,7 +52,7 @@ def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 def _counted(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    labelled = docs.select("doc_id", "source", "lang", mixing.coarse_topic(F.col("text")).alias("topic"), "text")
+    labelled = docs.select("doc_id", "source", "lang", mixing.change_type(F.col("text")).alias("topic"), "text")
     return materialize(encode.encode_texts(labelled, keep=["doc_id", "source", "lang", "topic"], path=vocabulary(), out="n_tokens", counts_only=True), "counted")
 
 
@@ -67,6 +67,13 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(mixing.select(counted, targets), counted, targets)
 
 
+def p7_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every source, language and topic: what the mix aims at, what the fit gives and what the selection reaches."""
+    counted, targets = _counted(spark, sf), table(spark, sf, "mix_targets")
+    planned = mixing.plan(counted, targets)
+    return mixing.margins(mixing.select(counted, targets, planned=planned), planned)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_pairs(table(spark, sf, "documents"))
 
@@ -84,7 +91,7 @@ def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(got, "doc_id", "left").select("doc_id", "chars", F.coalesce("stretches", F.lit(0)).alias("stretches"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.round(F.coalesce(F.col("shared_chars") / F.col("chars"), F.lit(0.0)), 6).alias("shared_part"))
 
 
-QUERIES = {f.__name__: f for f in (p3_ranking, p5_found, p5_top, p6_ids, p6_round_trip, p7_mix, p7_report, p8_found, p8_spans, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p3_ranking, p5_found, p5_top, p6_ids, p6_round_trip, p7_mix, p7_report, p7_margins, p8_found, p8_spans, p8_coverage)}
 
 _BEST = """
 WITH pairs AS (
