@@ -84,14 +84,19 @@ def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(F.col("doc").alias("doc_id"), "start", (F.col("end") - F.col("start")).alias("length"))
 
 
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs before they are expanded: documents by class of one equal window at its left boundary, with the character before it."""
+    return spans.match_classes(table(spark, sf, "documents")).select(F.xxhash64("h", "o", "m1", "m2").alias("class_id"), "before", F.col("doc").alias("doc_id"))
+
+
 def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document: shared stretches, characters they cover, and their part of the text."""
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
     got = p8_spans(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("stretches"), F.sum("length").alias("shared_chars"))
-    return docs.join(got, "doc_id", "left").select("doc_id", "chars", F.coalesce("stretches", F.lit(0)).alias("stretches"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.round(F.coalesce(F.col("shared_chars") / F.col("chars"), F.lit(0.0)), 6).alias("shared_part"))
+    return docs.join(got, "doc_id", "left").select("doc_id", "chars", F.coalesce("stretches", F.lit(0)).alias("stretches"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.round(F.coalesce(F.try_divide("shared_chars", "chars"), F.lit(0.0)), 6).alias("shared_part"))
 
 
-QUERIES = {f.__name__: f for f in (p3_ranking, p5_found, p5_top, p6_ids, p6_round_trip, p7_mix, p7_report, p7_margins, p8_found, p8_spans, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p3_ranking, p5_found, p5_top, p6_ids, p6_round_trip, p7_mix, p7_report, p7_margins, p8_found, p8_classes, p8_spans, p8_coverage)}
 
 _BEST = """
 WITH pairs AS (
@@ -100,7 +105,19 @@ WITH pairs AS (
 ), placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY combined_confidences DESC, regulator) AS INTEGER) AS place FROM pairs)
 """
 
+_WINDOWS = """
+WITH w AS (SELECT doc_id, i, substr(text, i, 120) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS i FROM documents WHERE length(text) >= 120)),
+shared AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1), hits AS (SELECT DISTINCT doc_id, i, s FROM w SEMI JOIN shared USING (s)),
+marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 120 THEN 0 ELSE 1 END AS fresh FROM hits),
+spans AS (SELECT doc_id, min(i) - 1 AS "start", max(i) + 120 - min(i) AS length FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run)
+"""
+
 ORACLE = {
+    "p8_found": _WINDOWS + "SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.s = b.s AND a.doc_id < b.doc_id",
+    "p8_spans": _WINDOWS + """SELECT doc_id, CAST("start" AS BIGINT) AS "start", CAST(length AS BIGINT) AS length FROM spans""",
+    "p8_coverage": _WINDOWS + """, c AS (SELECT doc_id, count(*) AS stretches, CAST(sum(length) AS BIGINT) AS shared_chars FROM spans GROUP BY doc_id)
+      SELECT d.doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS chars, coalesce(stretches, 0) AS stretches, coalesce(shared_chars, 0) AS shared_chars,
+        round(coalesce(shared_chars / nullif(length(text), 0)::DOUBLE, 0), 6) AS shared_part FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id""",
     "p3_ranking": """
 WITH rows AS (
   SELECT task, target, regulator, CASE WHEN isfinite(betas) THEN abs(betas) END AS b, CASE WHEN isfinite(rescaled_betas) THEN rescaled_betas END AS r FROM results_processor

@@ -84,3 +84,23 @@ def test_every_window_has_an_entry():
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spans.shared_pairs(df).count() == 0 and spans.shared_spans(df).count() == 0
+
+
+@pytest.mark.parametrize("hot", [50, 10**6])
+def test_one_text_in_many_surroundings(spark, hot):
+    """A planted text in most documents, each time between other characters, and a group of equal copies."""
+    rnd = random.Random(11)
+    fresh = lambda k: "".join(rnd.choice("abcdefghij") for _ in range(k))
+    planted, copy = fresh(90), fresh(130)
+    rows = [(f"d{i:03d}", (fresh(rnd.randrange(30)) + planted + fresh(rnd.randrange(30))) if i % 3 else copy) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    pairs, cover = brute(rows, 40)
+    assert {tuple(r) for r in spans.shared_pairs(df, length=40, hot_rows=hot).collect()} == pairs
+    found = {}
+    for r in spans.shared_spans(df, length=40, hot_rows=hot).collect():
+        found.setdefault(r.doc, []).append((r.start, r.end))
+    assert {k: sorted(v) for k, v in found.items()} == cover
+    for r in spans.shared_factors(df, length=40, hot_rows=hot).collect():
+        assert 40 <= r.factor <= r.end - r.start or r.factor == 40
+    classes = spans.match_classes(df, length=40, hot_rows=hot)
+    assert classes.count() < 20 * len(rows)
