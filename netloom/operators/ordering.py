@@ -21,21 +21,23 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def running_totals(df: DataFrame, *, scope: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+def running_totals(df: DataFrame, *, scope: list[str], order: list[Column], sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the running total (inclusive) of each column of ``sums`` {new: column} along the order.
 
-    The order must be total within a scope."""
+    The order must be total within a scope. ``totals`` {new: name in sums}: the scope's whole sum, at no further pass."""
     spread = ranged(df, [*[F.col(c) for c in scope], *order])
     w = W.partitionBy("_part", *scope).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*scope).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    all_parts = W.partitionBy(*scope)
+    totals = totals or {}
     parts = spread.groupBy("_part", *scope).agg(*[F.sum(c).alias(f"_total_{n}") for n, c in sums.items()])
-    parts = parts.select(F.col("_part").alias("_in_part"), *[F.col(c).alias(f"_in_scope{i}") for i, c in enumerate(scope)], *[F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    parts = parts.select(F.col("_part").alias("_in_part"), *[F.col(c).alias(f"_in_scope{i}") for i, c in enumerate(scope)], *[F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums], *[F.coalesce(F.sum(f"_total_{n}").over(all_parts), F.lit(0)).alias(f"_whole_{t}") for t, n in totals.items()])
     on = F.col("_part") == F.col("_in_part")
     for i, c in enumerate(scope):
         on = on & same(F.col(c), F.col(f"_in_scope{i}"))
     run = spread.select("*", *[F.sum(c).over(w).alias(f"_run_{n}") for n, c in sums.items()])
     run = run.join(parts, on)
-    return run.select(*df.columns, *[(F.coalesce(F.col(f"_run_{n}"), F.lit(0)) + F.col(f"_before_{n}")).alias(n) for n in sums])
+    return run.select(*df.columns, *[(F.coalesce(F.col(f"_run_{n}"), F.lit(0)) + F.col(f"_before_{n}")).alias(n) for n in sums], *[F.col(f"_whole_{t}").alias(t) for t in totals])
 
 
 def numbered(df: DataFrame, *, scope: list[str], order: list[Column], name: str = "place") -> DataFrame:
@@ -43,8 +45,8 @@ def numbered(df: DataFrame, *, scope: list[str], order: list[Column], name: str
     return running_totals(df.withColumn("_one", F.lit(1).cast("long")), scope=scope, order=order, sums={name: "_one"}).drop("_one")
 
 
-def average_ranks(df: DataFrame, *, scope: list[str], value: str, name: str = "rank") -> DataFrame:
-    """(scope..., value, name): ascending rank of each distinct value, ties share the average."""
+def average_ranks(df: DataFrame, *, scope: list[str], value: str, name: str = "rank", total: str | None = None) -> DataFrame:
+    """(scope..., value, name): ascending rank of each distinct value, ties share the average. ``total``: also the scope's rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*scope, value).agg(F.count(F.lit(1)).alias("_n"))
-    run = running_totals(counts, scope=scope, order=[F.col(value)], sums={"_upto": "_n"})
-    return run.select(*scope, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+    run = running_totals(counts, scope=scope, order=[F.col(value)], sums={"_upto": "_n"}, totals={total: "_upto"} if total else None)
+    return run.select(*scope, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name), *([total] if total else []))
