@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators import ordering
+from netloom.session import materialize
 
 
 def finite(c: Column) -> Column:
@@ -30,22 +31,22 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v + F.lit(0.0))
 
 
-def points(df: DataFrame, scope: str, value: str) -> DataFrame:
-    """(scope, value, points) for each distinct value: 1 for the highest, 0 for the lowest rank."""
-    ranks = ordering.average_ranks(df, scope=[scope], value=value, name="_rank")
-    totals = df.where(F.col(value).isNotNull()).groupBy(F.col(scope).alias("_s2")).agg(F.count(F.lit(1)).alias("_m"))
-    share = (F.col("_rank") - 1) / (F.col("_m") - 1)
-    return ranks.join(totals, F.col(scope).eqNullSafe(F.col("_s2"))).select(scope, value, F.when(F.col("_m") > 1, share).otherwise(0.5).alias("points"))
+def points(df: DataFrame, scope: str, values: list[str]) -> DataFrame:
+    """(scope, k, value, points) for each distinct value of the k-th score: 1 for the highest, 0 for the lowest rank.
+
+    All scores are ranked in one pass: the score's number is part of the scope."""
+    stacked = df.select(F.col(scope).alias("_s"), F.posexplode(F.array(*values)).alias("k", "_v"))
+    ranks = ordering.average_ranks(stacked, scope=["_s", "k"], value="_v", name="_rank", total="_m")
+    return ranks.select("_s", "k", "_v", F.when(F.col("_m") > 1, (F.col("_rank") - 1) / (F.col("_m") - 1)).otherwise(0.5).alias("points"))
 
 
 def borda(df: DataFrame, *, scope: str, scores: dict[str, float]) -> DataFrame:
     """``df`` with ``<score>_points`` and ``borda`` (the weighted sum, to 12 places)."""
-    out = df
-    for c in scores:
-        out = out.withColumn(c, finite(F.col(c)))
+    out = df.withColumns({c: finite(F.col(c)) for c in scores})
+    ranked = materialize(points(out, scope, list(scores)), "points")
     total = F.lit(0.0)
-    for c, weight in scores.items():
-        p = points(out, scope, c).select(F.col(scope).alias("_s"), F.col(c).alias("_v"), F.col("points").alias(f"{c}_points"))
+    for k, (c, weight) in enumerate(scores.items()):
+        p = ranked.where(F.col("k") == k).select("_s", "_v", F.col("points").alias(f"{c}_points"))
         out = out.join(p, out[scope].eqNullSafe(p["_s"]) & (out[c] == p["_v"]), "left").drop("_s", "_v").withColumn(f"{c}_points", F.coalesce(f"{c}_points", F.lit(0.5)))
         total = total + F.col(f"{c}_points") * weight
     return out.withColumn("borda", F.round(total, 12))
