@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators.ordering import average_ranks
+from netloom.operators.ordering import average_ranks, ranks_of_counts
+from netloom.session import materialize
 
 
 def not_finite(v: Column) -> Column:
@@ -46,15 +47,44 @@ def rank_sum_confidence(stack: DataFrame, *, replicate: str = "bootstrap", keys:
     """(keys..., combined_confidences): ranks of all cells of a replicate, ties averaged, summed over
     replicates and scaled to 0..1 by the least sum and replicates times cells.
 
-    ``stack`` holds every cell of the domain. Two passes: distinct values are ranked, then joined back."""
+    ``stack`` holds every cell of the domain; a null score has no rank. Zeros, most of the cells, meet no rank: their common rank in a replicate comes
+    from the counts (one row a replicate)."""
     keys = keys or ["target", "regulator"]
-    ranks = average_ranks(stack, scope=[replicate], value=score, name="_rank").select(F.col(replicate).alias("_b"), F.col(score).alias("_s"), "_rank")
-    ranked = stack.join(ranks, stack[replicate].eqNullSafe(ranks["_b"]) & (stack[score] == ranks["_s"]), "left")
-    summed = ranked.groupBy(*keys).agg(F.sum("_rank").alias("_total"), F.count(F.lit(1)).alias("_reps"))
+    ranks = materialize(average_ranks(stack, scope=[replicate], value=score, name="_rank"), "ranks").select(F.col(replicate).alias("_b"), F.col(score).alias("_s"), "_rank")
+    zero = ranks.where("_s = 0").select("_b", F.col("_rank").alias("_zero"))
+    live = stack.where(F.col(score) != 0)
+    some = live.join(ranks, live[replicate].eqNullSafe(ranks["_b"]) & (live[score] == ranks["_s"])).select(*keys, F.col("_rank"))
+    none = stack.where(F.coalesce(F.col(score) == 0, F.lit(True))).select(*keys, replicate, score)
+    none = none.join(F.broadcast(zero), none[replicate].eqNullSafe(zero["_b"]), "left").select(*keys, F.when(F.col(score) == 0, F.col("_zero")).alias("_rank"))
+    summed = some.unionByName(none).groupBy(*keys).agg(F.sum("_rank").alias("_total"), F.count(F.lit(1)).alias("_reps"))
     edge = summed.agg(F.min("_total").alias("_least"), (F.sum("_reps")).alias("_most"))  # one row
     return summed.crossJoin(F.broadcast(edge)).select(*keys, F.coalesce(F.try_divide(F.col("_total") - F.col("_least"), F.col("_most") - F.col("_least")), F.lit(0.0)).alias("combined_confidences"))
 
 
+def sparse_rank_sum(stack: DataFrame, cells: int, replicates: int, *, replicate: str = "bootstrap", keys: list[str] | None = None, score: str = "score") -> tuple[DataFrame, float]:
+    """The same where ``stack`` holds only cells with a score other than 0 of a domain of ``cells``: (keys..., combined_confidences)
+    of the cells it holds, and the confidence of all others.
+
+    Zeros are counted, never stored: a replicate's missing cells share one rank by arithmetic, so work follows the edges, not the domain."""
+    keys = keys or ["target", "regulator"]
+    live = stack.where(F.col(score).isNotNull() & (F.col(score) != 0))
+    counts = materialize(live.groupBy(replicate, score).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    zeros = counts.groupBy(replicate).agg((F.lit(cells) - F.sum("_n")).alias("_n")).where("_n > 0").select(replicate, F.lit(0.0).alias(score), "_n")
+    ranks = materialize(ranks_of_counts(counts.unionByName(zeros), scope=[replicate], value=score, name="_rank"), "ranks").select(F.col(replicate).alias("_b"), F.col(score).alias("_s"), "_rank")
+    zero = ranks.where("_s = 0").select(F.col("_b").alias("_z"), F.col("_rank").alias("_zero"))  # one row a replicate
+    known = zero.agg(F.coalesce(F.sum("_zero"), F.lit(0.0)).alias("s")).first()["s"]
+    seen = counts.agg(F.countDistinct(replicate).alias("n")).first()["n"]
+    base = known + (replicates - seen) * (cells + 1) / 2  # a replicate without any edge ranks all cells alike
+    gain = live.join(ranks, live[replicate].eqNullSafe(ranks["_b"]) & (live[score] == ranks["_s"]))
+    gain = gain.join(F.broadcast(zero), F.col("_b").eqNullSafe(F.col("_z")), "left")
+    summed = materialize(gain.groupBy(*keys).agg((F.sum(F.col("_rank") - F.coalesce("_zero", F.lit(0.0))) + base).alias("_total")), "sums")
+    edge = summed.agg(F.min("_total").alias("least"), F.count(F.lit(1)).alias("n")).first()
+    least = min([v for v in (edge["least"], base if edge["n"] < cells else None) if v is not None], default=0.0)
+    span = replicates * cells - least
+    scaled = lambda v: (v - least) / span if span else v * 0.0
+    return summed.select(*keys, (scaled(F.col("_total")) if span else F.lit(0.0)).alias("combined_confidences")), float(scaled(base))
+
+
 def gram(m: DataFrame, *, obs: str = "obs_id", feature: str = "feature", value: str = "value", other: DataFrame | None = None) -> DataFrame:
     """(a, b, dot): sums of products over observations of all pairs of features (a from ``m``, b from ``other`` or ``m``)."""
     left = m.select(F.col(obs).alias("_o"), F.col(feature).alias("a"), F.col(value).alias("_x"))
@@ -88,9 +118,13 @@ def features_of_tasks(features: DataFrame, at_least: int | str, n_tasks: int | N
     return per.where(F.col("n") >= at_least).select(feature)
 
 
-def regression_summary(edges: DataFrame, beta: str = "beta") -> DataFrame:
-    """Models, mean number of predictors per model, models without any."""
+def regression_summary(edges: DataFrame, beta: str = "beta", targets: DataFrame | None = None) -> DataFrame:
+    """Models, mean number of predictors per model, models without any.
+
+    ``targets``: all that were fitted, one row each; models without an edge leave no other trace."""
     per = edges.groupBy("target").agg(F.count_if(F.col(beta) != 0).alias("n"))
+    if targets is not None:
+        per = targets.select(F.col(targets.columns[0]).alias("target")).distinct().join(per, "target", "left").select("target", F.coalesce("n", F.lit(0)).alias("n"))
     return per.agg(F.count(F.lit(1)).alias("models"), F.avg("n").alias("mean_predictors"), F.count_if(F.col("n") == 0).alias("null_models"))
 
 

@@ -48,5 +48,10 @@ def numbered(df: DataFrame, *, scope: list[str], order: list[Column], name: str
 def average_ranks(df: DataFrame, *, scope: list[str], value: str, name: str = "rank", total: str | None = None) -> DataFrame:
     """(scope..., value, name): ascending rank of each distinct value, ties share the average. ``total``: also the scope's rows."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*scope, value).agg(F.count(F.lit(1)).alias("_n"))
+    return ranks_of_counts(counts, scope=scope, value=value, name=name, total=total)
+
+
+def ranks_of_counts(counts: DataFrame, *, scope: list[str], value: str, name: str = "rank", total: str | None = None) -> DataFrame:
+    """The same from (scope..., value, _n): how often each distinct value occurs."""
     run = running_totals(counts, scope=scope, order=[F.col(value)], sums={"_upto": "_n"}, totals={total: "_upto"} if total else None)
     return run.select(*scope, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name), *([total] if total else []))

@@ -44,26 +44,45 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 def mcc_curve(rows: DataFrame) -> DataFrame:
     """(confidence, mcc): Matthews correlation; a zero denominator counts as 1."""
+    return _mcc(confusion(rows))
+
+
+def _mcc(counts: DataFrame) -> DataFrame:
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     bottom = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-    return confusion(rows).select(CONF, ((tp * tn - fp * fn) / F.when(bottom == 0, 1.0).otherwise(bottom)).alias("mcc"))
+    return counts.select(CONF, ((tp * tn - fp * fn) / F.when(bottom == 0, 1.0).otherwise(bottom)).alias("mcc"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with place, _tp, precision, recall and the whole counts _all (edges) and _rows: one range sort, stored once."""
+    order = [F.desc_nulls_last(CONF), F.col("target"), F.col("regulator")]
+    run = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), scope=[], order=order, sums={"place": "_one", "_tp": "gold_standard"}, totals={"_all": "_tp", "_rows": "place"})
+    return materialize(run.drop("_one").withColumn("precision", F.col("_tp") / F.col("place")).withColumn("recall", F.try_divide("_tp", "_all")), "curve")
+
+
+def _levelled(curve: DataFrame) -> DataFrame:
+    """Rows of confidence 0 share their mean precision; ``_before``: the precision of the row before (of the first: its own).
+
+    The row before holds one true edge less where this one holds one, at the place before, so no neighbour is looked up."""
+    zero = F.col(CONF) == 0
+    flat = curve.agg(F.avg(F.when(zero, F.col("precision"))).alias("_flat"), F.min(F.when(zero, F.col("place"))).alias("_z0"), F.max(F.when(zero, F.col("place"))).alias("_z1"))  # one row
+    both = curve.crossJoin(F.broadcast(flat))
+    at = F.col("place") - 1
+    before = F.when(at == 0, F.col("precision")).when((at >= F.col("_z0")) & (at <= F.col("_z1")), F.col("_flat")).otherwise((F.col("_tp") - F.col("gold_standard")) / F.when(at > 0, at).otherwise(1))
+    both = both.withColumn("precision", F.when(zero, F.col("_flat")).otherwise(F.col("precision")))
+    return both.withColumn("_before", F.when(at == 0, F.col("precision")).otherwise(before)).drop("_flat", "_z0", "_z1")
 
 
 def precision_recall(rows: DataFrame, ties: str | None = None) -> DataFrame:
     """``rows`` with place, precision and recall; rows of confidence 0 share their mean precision.
 
     ``ties`` (min, max, avg): both values are aggregated per confidence instead."""
-    order = [F.desc_nulls_last(CONF), F.col("target"), F.col("regulator")]
-    run = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), scope=[], order=order, sums={"place": "_one", "_tp": "gold_standard"}).drop("_one")
-    total = rows.agg(F.sum("gold_standard").alias("_all"))  # one row
-    curve = run.crossJoin(F.broadcast(total)).withColumn("precision", F.col("_tp") / F.col("place")).withColumn("recall", F.try_divide("_tp", "_all"))
+    curve = _placed(rows)
     if ties:
         per = curve.groupBy(CONF).agg(getattr(F, ties)("precision").alias("precision"), getattr(F, ties)("recall").alias("recall"))
         curve = curve.drop("precision", "recall").join(per.withColumnRenamed(CONF, "_c"), F.col(CONF).eqNullSafe(F.col("_c"))).drop("_c")
-    else:
-        flat = curve.where(F.col(CONF) == 0).agg(F.avg("precision").alias("_flat"))  # one row
-        curve = curve.crossJoin(F.broadcast(flat)).withColumn("precision", F.when(F.col(CONF) == 0, F.col("_flat")).otherwise(F.col("precision"))).drop("_flat")
-    return curve.drop("_tp", "_all")
+        return curve.drop("_tp", "_all", "_rows")
+    return _levelled(curve).drop("_tp", "_all", "_rows", "_before")
 
 
 def aupr(curve: DataFrame) -> DataFrame:
@@ -89,10 +108,15 @@ def best_f1(curve: DataFrame) -> DataFrame:
     return top.select(F.col("m.f1").alias("max_f1"), (-F.col("m.c")).alias("f1_confidence"))
 
 
-def best_mcc(mcc: DataFrame) -> DataFrame:
-    """One row: the value farthest from zero, and the least confidence with the greatest value."""
+def best_mcc(mcc: DataFrame, confidences: DataFrame | None = None) -> DataFrame:
+    """One row: the value farthest from zero, and the least confidence with the greatest value.
+
+    ``confidences``: also ``mcc_edges``, the edges of the whole network from that confidence up."""
     top = mcc.agg(F.max_by("mcc", F.abs("mcc")).alias("max_mcc"), F.max(F.struct("mcc", (-F.col(CONF)).alias("c"))).alias("m"))
-    return top.select("max_mcc", (-F.col("m.c")).alias("mcc_confidence"))
+    best = top.select("max_mcc", (-F.col("m.c")).alias("mcc_confidence"))
+    if confidences is None:
+        return best
+    return confidences.select(CONF).crossJoin(F.broadcast(best)).agg(F.first("max_mcc").alias("max_mcc"), F.first("mcc_confidence").alias("mcc_confidence"), F.count_if(F.col(CONF) >= F.col("mcc_confidence")).alias("mcc_edges"))
 
 
 def edges_over(curve: DataFrame, column: str, threshold: float) -> DataFrame:
@@ -109,16 +133,26 @@ class Metric:
     scorer: object
 
     def score(self, confidences: DataFrame, gold: DataFrame, method: str = "keep_all_gold_standard") -> DataFrame:
-        return self.scorer(materialize(scored(attach_gold(confidences, gold), method), "scored"))
+        return self.scorer(scored(attach_gold(confidences, gold), method))
+
+
+def _area(curve: DataFrame) -> DataFrame:
+    """The area of a levelled curve: recall grows by one edge at rows that hold one, and nowhere else."""
+    step = (F.col("precision") + F.col("_before")) / 2 / F.col("_all")
+    return curve.agg(F.sum(F.when(F.col("_all") > 0, F.when(F.col("gold_standard") == 1, step).otherwise(0.0))).alias("aupr"))
 
 
 def _combined(rows: DataFrame) -> DataFrame:
-    curve, mcc = materialize(precision_recall(rows), "curve"), mcc_curve(rows)  # the curve is read twice
-    return aupr(curve).crossJoin(F.broadcast(best_f1(curve))).crossJoin(F.broadcast(best_mcc(mcc)))
+    """All three measures off one stored curve: area and F1 row by row, MCC from the last row of each confidence."""
+    placed = _placed(rows)
+    curve = _levelled(placed)
+    per = placed.groupBy(CONF).agg(F.max("_tp").alias("tp"), F.max("place").alias("_place"), F.first("_all").alias("_all"), F.first("_rows").alias("_rows"))
+    counts = per.select(CONF, "tp", (F.col("_place") - F.col("tp")).alias("fp"), (F.col("_rows") - F.col("_all") - F.col("_place") + F.col("tp")).alias("tn"), (F.col("_all") - F.col("tp")).alias("fn"))
+    return _area(curve).crossJoin(F.broadcast(best_f1(curve))).crossJoin(F.broadcast(best_mcc(_mcc(counts))))
 
 
 METRICS = {
-    "combined": Metric("combined", _combined), "aupr": Metric("aupr", lambda r: aupr(precision_recall(r))), "precision-recall": Metric("aupr", lambda r: aupr(precision_recall(r))),
+    "combined": Metric("combined", _combined), "aupr": Metric("aupr", lambda r: _area(_levelled(_placed(r)))), "precision-recall": Metric("aupr", lambda r: _area(_levelled(_placed(r)))),
     "f1": Metric("f1", lambda r: best_f1(precision_recall(r, ties="avg"))), "mcc": Metric("mcc", lambda r: best_mcc(mcc_curve(r))),
 }
 

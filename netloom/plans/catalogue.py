@@ -328,14 +328,18 @@ def prev_next_in_group(spark, sf):
 
 @query(sql("me", _LINKS + """SELECT d.task, d.prev || '-' || d.obs_id AS cond, y.feature, x.value AS design, round(45.0 * ((y.value - x.value) / d.dt) + x.value + 1.234e-9, 6) + 0.0 AS response, round(22.5 * ((y.value - x.value) / d.dt) + x.value + 1.234e-9, 6) + 0.0 AS half_response
 FROM d JOIN e y ON y.task = d.task AND y.obs_id = d.obs_id JOIN e x ON x.task = d.task AND x.obs_id = d.prev AND x.feature = y.feature
-UNION ALL SELECT task, obs_id, feature, value, round(value + 1.234e-9, 6) + 0.0, round(value + 1.234e-9, 6) + 0.0 FROM e WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.task = e.task AND (d.obs_id = e.obs_id OR d.prev = e.obs_id))""").replace("\n, l AS", ", l AS"))
+UNION ALL SELECT task, obs_id, feature, value, round(value + 1.234e-9, 6) + 0.0, round(value + 1.234e-9, 6) + 0.0 FROM e
+WHERE NOT EXISTS (SELECT 1 FROM d JOIN e x ON x.task = d.task AND x.obs_id = d.prev WHERE d.task = e.task AND d.obs_id = e.obs_id AND x.feature = e.feature)
+AND NOT EXISTS (SELECT 1 FROM d JOIN e y ON y.task = d.task AND y.obs_id = d.obs_id WHERE d.task = e.task AND d.prev = e.obs_id AND y.feature = e.feature)""").replace("\n, l AS", ", l AS"))
 def design_response_timeseries(spark, sf):
     out = timeseries.design_response(materialize(expression(spark, sf), "e"), materialize(_links(spark, sf), "links"), scope=["task"])
     return out.select("task", "cond", "feature", "design", r("response"), r("half_response"))
 
 
 @query(sql("m", _LINKS + """, k AS (SELECT task, obs_id, prev, dt FROM l WHERE prev IS NOT NULL AND dt IS NOT NULL), w AS (
-WITH RECURSIVE z AS (SELECT task, obs_id, prev, dt, 1 AS n FROM k UNION ALL SELECT z.task, z.obs_id, k.prev, z.dt + k.dt, n + 1 FROM z JOIN k ON k.task = z.task AND k.obs_id = z.prev WHERE z.dt < 15 AND n < 64) SELECT * FROM z)
+WITH RECURSIVE z AS (SELECT task, obs_id, prev, dt, [{'name': prev, 'time': dt}] AS met FROM k
+UNION ALL SELECT z.task, z.obs_id, k.prev, z.dt + k.dt, list_append(z.met, {'name': k.prev, 'time': z.dt + k.dt}) FROM z JOIN k ON k.task = z.task AND k.obs_id = z.prev
+WHERE z.dt < 15 AND len(list_filter(z.met, lambda q: q.name = k.prev AND q.time >= z.dt + k.dt)) = 0) SELECT * FROM z)
 SELECT task, obs_id, prev, round(dt, 6) AS dt FROM w WHERE dt >= 15 AND dt <= 60""").replace("\n, l AS", ", l AS").replace("\n, k AS", ", k AS"))
 def ancestor_window_delta(spark, sf):
     return timeseries.first_ancestor(materialize(_links(spark, sf), "links"), scope=["task"], least=15.0, most=60.0).withColumn("dt", F.round("dt", 6))
