@@ -61,28 +61,31 @@ def rank_sum_confidence(stack: DataFrame, *, replicate: str = "bootstrap", keys:
     return summed.crossJoin(F.broadcast(edge)).select(*keys, F.coalesce(F.try_divide(F.col("_total") - F.col("_least"), F.col("_most") - F.col("_least")), F.lit(0.0)).alias("combined_confidences"))
 
 
-def sparse_rank_sum(stack: DataFrame, cells: int, replicates: int, *, replicate: str = "bootstrap", keys: list[str] | None = None, score: str = "score") -> tuple[DataFrame, float]:
-    """The same where ``stack`` holds only cells with a score other than 0 of a domain of ``cells``: (keys..., combined_confidences)
-    of the cells it holds, and the confidence of all others.
-
-    Zeros are counted, never stored: a replicate's missing cells share one rank by arithmetic, so work follows the edges, not the domain."""
-    keys = keys or ["target", "regulator"]
+def sparse_rank_sum(stack: DataFrame, cells: DataFrame, replicates: int, *, scope: list[str] | None = None, replicate: str = "bootstrap", keys: list[str] | None = None, score: str = "score") -> tuple[DataFrame, DataFrame]:
+    """The same where ``stack`` holds only cells with a score other than 0; ``cells`` (scope..., cells): the size of each domain.
+
+    Returns (scope..., keys..., combined_confidences) of the cells it holds, and (scope..., rest), the confidence of all others.
+    Zeros are counted, never stored: a replicate's missing cells share one rank by arithmetic, so work follows the edges, not the
+    domain. Tables of one row a scope or replicate are broadcast; both are settings of a run."""
+    scope, keys = scope or [], keys or ["target", "regulator"]
+    meet = lambda a, b, how="inner": a.join(F.broadcast(b), scope, how) if scope else a.crossJoin(F.broadcast(b))
     live = stack.where(F.col(score).isNotNull() & (F.col(score) != 0))
-    counts = materialize(live.groupBy(replicate, score).agg(F.count(F.lit(1)).alias("_n")), "counts")
-    zeros = counts.groupBy(replicate).agg((F.lit(cells) - F.sum("_n")).alias("_n")).where("_n > 0").select(replicate, F.lit(0.0).alias(score), "_n")
-    ranks = materialize(ranks_of_counts(counts.unionByName(zeros), scope=[replicate], value=score, name="_rank"), "ranks").select(F.col(replicate).alias("_b"), F.col(score).alias("_s"), "_rank")
-    zero = ranks.where("_s = 0").select(F.col("_b").alias("_z"), F.col("_rank").alias("_zero"))  # one row a replicate
-    known = zero.agg(F.coalesce(F.sum("_zero"), F.lit(0.0)).alias("s")).first()["s"]
-    seen = counts.agg(F.countDistinct(replicate).alias("n")).first()["n"]
-    base = known + (replicates - seen) * (cells + 1) / 2  # a replicate without any edge ranks all cells alike
-    gain = live.join(ranks, live[replicate].eqNullSafe(ranks["_b"]) & (live[score] == ranks["_s"]))
-    gain = gain.join(F.broadcast(zero), F.col("_b").eqNullSafe(F.col("_z")), "left")
-    summed = materialize(gain.groupBy(*keys).agg((F.sum(F.col("_rank") - F.coalesce("_zero", F.lit(0.0))) + base).alias("_total")), "sums")
-    edge = summed.agg(F.min("_total").alias("least"), F.count(F.lit(1)).alias("n")).first()
-    least = min([v for v in (edge["least"], base if edge["n"] < cells else None) if v is not None], default=0.0)
-    span = replicates * cells - least
-    scaled = lambda v: (v - least) / span if span else v * 0.0
-    return summed.select(*keys, (scaled(F.col("_total")) if span else F.lit(0.0)).alias("combined_confidences")), float(scaled(base))
+    counts = materialize(live.groupBy(*scope, replicate, score).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    stored = counts.groupBy(*scope, replicate).agg(F.sum("_n").alias("_k"))
+    zeros = meet(stored, cells).select(*scope, replicate, F.lit(0.0).alias(score), (F.col("cells") - F.col("_k")).alias("_n")).where("_n > 0")
+    ranks = materialize(ranks_of_counts(counts.unionByName(zeros), scope=[*scope, replicate], value=score, name="_rank"), "ranks")
+    zero = ranks.where(F.col(score) == 0).select(*scope, replicate, F.col("_rank").alias("_zero"))
+    missing = replicates - F.coalesce("_seen", F.lit(0))  # a replicate without any edge ranks all cells alike
+    of_zero = zero.groupBy(*scope).agg(F.sum("_zero").alias("_zeros"))
+    seen = stored.groupBy(*scope).agg(F.count(F.lit(1)).alias("_seen"))
+    base = meet(meet(cells, seen, "left"), of_zero, "left").select(*scope, "cells", (F.coalesce("_zeros", F.lit(0.0)) + missing * (F.col("cells") + 1) / 2).alias("_base"))
+    gain = live.join(ranks, [*scope, replicate, score]).join(F.broadcast(zero), [*scope, replicate], "left")
+    gains = materialize(gain.groupBy(*scope, *keys).agg(F.sum(F.col("_rank") - F.coalesce("_zero", F.lit(0.0))).alias("_gain")), "sums")
+    low = gains.groupBy(*scope).agg(F.min("_gain").alias("_low"), F.count(F.lit(1)).alias("_held"))
+    least = F.col("_base") + F.least(F.coalesce("_low", F.lit(0.0)), F.when(F.coalesce("_held", F.lit(0)) < F.col("cells"), 0.0).otherwise(F.coalesce("_low", F.lit(0.0))))
+    edge = materialize(meet(base, low, "left").select(*scope, "_base", least.alias("_least"), (replicates * F.col("cells") - least).alias("_span")), "edge")
+    conf = lambda total: F.coalesce(F.try_divide(total - F.col("_least"), F.col("_span")), F.lit(0.0))
+    return meet(gains, edge).select(*scope, *keys, conf(F.col("_base") + F.col("_gain")).alias("combined_confidences")), edge.select(*scope, conf(F.col("_base")).alias("rest"))
 
 
 def gram(m: DataFrame, *, obs: str = "obs_id", feature: str = "feature", value: str = "value", other: DataFrame | None = None) -> DataFrame:

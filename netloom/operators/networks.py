@@ -33,7 +33,13 @@ def null_network(targets: DataFrame, regulators: DataFrame) -> DataFrame:
 
 
 def align(prior: DataFrame, targets: DataFrame) -> DataFrame:
-    """The prior's regulators over all given targets, 0 where it says nothing; other targets go."""
+    """The prior's regulators over all given targets, 0 where it says nothing; other targets go.
+
+    With a column ``task`` in both, task by task."""
+    if "task" in prior.columns and "task" in targets.columns:
+        name = next(c for c in targets.columns if c != "task")
+        cells = targets.select("task", F.col(name).alias("target")).distinct().join(prior.select("task", "regulator").distinct(), "task")
+        return cells.join(prior.select("task", *KEYS, "weight"), ["task", *KEYS], "left").select("task", *KEYS, F.coalesce("weight", F.lit(0.0)).alias("weight"))
     cells = null_network(targets, prior.select("regulator").distinct()).drop("weight")
     return cells.join(prior.select(*KEYS, "weight"), KEYS, "left").select(*KEYS, F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
@@ -104,7 +110,7 @@ def add_noise(cells: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     """Weights as 0 or 1, and 1 where a cell's uniform number is at most ``ratio``.
 
     The threshold is the ratio itself, the uniform's quantile, so no sort is needed."""
-    return cells.select(*KEYS, ((F.col("weight") != 0) | (uniform(seed, *KEYS) <= ratio)).cast("double").alias("weight"))
+    return cells.select(*[c for c in cells.columns if c not in (*KEYS, "weight")], *KEYS, ((F.col("weight") != 0) | (uniform(seed, *KEYS) <= ratio)).cast("double").alias("weight"))
 
 
 def regulator_status(prior: DataFrame, measured: DataFrame, keep_self: bool = False) -> DataFrame:
@@ -132,3 +138,15 @@ def map_labels(m: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     if not lost.isEmpty():
         raise KeyError(f"{column} without a group")
     return m.join(mapping.select(F.col("label").alias(column), "group"), column).withColumn(column, F.col("group")).drop("group")
+
+
+def homology_tasks(m: DataFrame, mapping: DataFrame, column: str, task: str = "task", value: str = "value", obs: str = "obs_id") -> DataFrame:
+    """Tasks brought onto common labels: each label gives way to its group (``mapping``: label, group; a column ``task`` where tasks
+    have maps of their own), labels without a group go, labels of one group in a sample are averaged, and groups a task doesn't have
+    are columns of zeros, so that every task has the union of all groups."""
+    on = [c for c in (task,) if c in mapping.columns]
+    named = m.join(mapping.select(*on, F.col("label").alias(column), "group").distinct(), [*on, column]).groupBy(task, obs, F.col("group").alias(column)).agg(F.avg(value).alias(value))
+    groups = named.select(column).distinct()
+    lacking = named.select(task).distinct().crossJoin(groups).join(named.select(task, column).distinct(), [task, column], "left_anti")
+    zeros = named.select(task, obs).distinct().join(lacking, task).select(task, obs, column, F.lit(0.0).alias(value))
+    return named.select(task, obs, column, value).unionByName(zeros)

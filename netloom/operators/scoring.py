@@ -1,8 +1,8 @@
 """Scores of a ranked network against a gold standard.
 
 ``confidences`` (target, regulator, combined_confidences) meet ``gold`` (target, regulator, weight;
-null is not scored) in a full outer join. Curves are running totals along descending confidence; ties are broken by target
-and regulator. Curves by confidence (confusion, MCC) are computed over distinct confidences, so
+null is not scored) in a full outer join. Curves are running totals along descending confidence; ties are broken by regulator,
+then target, the order of the columns of a network. Curves by confidence (confusion, MCC) are computed over distinct confidences, so
 they have as many rows as there are different values.
 """
 
@@ -55,7 +55,7 @@ def _mcc(counts: DataFrame) -> DataFrame:
 
 def _placed(rows: DataFrame) -> DataFrame:
     """``rows`` with place, _tp, precision, recall and the whole counts _all (edges) and _rows: one range sort, stored once."""
-    order = [F.desc_nulls_last(CONF), F.col("target"), F.col("regulator")]
+    order = [F.desc_nulls_last(CONF), F.col("regulator"), F.col("target")]
     run = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), scope=[], order=order, sums={"place": "_one", "_tp": "gold_standard"}, totals={"_all": "_tp", "_rows": "place"})
     return materialize(run.drop("_one").withColumn("precision", F.col("_tp") / F.col("place")).withColumn("recall", F.try_divide("_tp", "_all")), "curve")
 

@@ -234,7 +234,7 @@ def fixed_chunks(spark, sf):
 # --- scoring ------------------------------------------------------------------------------------
 
 _ROWS = sql("ck", """, a AS (SELECT target, regulator, combined_confidences AS conf, CAST(weight <> 0 AS INTEGER) AS gs FROM k LEFT JOIN c USING (target, regulator)),
-w AS (SELECT *, row_number() OVER (ORDER BY conf DESC NULLS LAST, target, regulator) AS place, sum(gs) OVER (ORDER BY conf DESC NULLS LAST, target, regulator) AS tp FROM a),
+w AS (SELECT *, row_number() OVER (ORDER BY conf DESC NULLS LAST, regulator, target) AS place, sum(gs) OVER (ORDER BY conf DESC NULLS LAST, regulator, target) AS tp FROM a),
 x AS (SELECT *, tp / place AS p0, tp / (SELECT sum(gs) FROM a) AS recall FROM w), pr AS (SELECT *, CASE WHEN conf = 0 THEN (SELECT avg(p0) FROM x WHERE conf = 0) ELSE p0 END AS precision FROM x),
 cm AS (SELECT conf, max(sum(p)) OVER w1 AS dummy, sum(sum(p)) OVER w1 AS tp, sum(sum(n)) OVER w1 AS fp FROM (SELECT conf, gs AS p, 1 - gs AS n FROM a) GROUP BY conf WINDOW w1 AS (ORDER BY conf DESC NULLS LAST)),
 cf AS (SELECT conf, tp, fp, (SELECT sum(1 - gs) FROM a) - fp AS tn, (SELECT sum(gs) FROM a) - tp AS fn FROM cm),
@@ -448,18 +448,17 @@ def velocity_cell_decay(spark, sf):
 # --- information ----------------------------------------------------------------------------------
 
 _MI = sql("v", """, d AS (SELECT obs_id, v.feature, coalesce(least(9, floor((value - lo) / nullif(hi - lo, 0) * 10)), 0) AS bin FROM v JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM v GROUP BY ALL) z ON z.feature = v.feature),
-n AS (SELECT a.feature AS target, b.feature AS regulator, a.bin AS ab, b.bin AS bb, count(*) AS n FROM d a JOIN d b USING (obs_id) WHERE b.feature < 'd08' GROUP BY ALL),
+n AS (SELECT a.feature AS target, b.feature AS regulator, a.bin AS ab, b.bin AS bb, count(*) AS n FROM d a JOIN d b USING (obs_id) GROUP BY ALL),
 q AS (SELECT target, regulator, n, sum(n) OVER (PARTITION BY target, regulator, ab) AS na, sum(n) OVER (PARTITION BY target, regulator, bb) AS nb, sum(n) OVER (PARTITION BY target, regulator) AS t FROM n),
 mi AS (SELECT target, regulator, CASE WHEN target = regulator THEN 0 ELSE sum(n / t * ln(n * t / (na * nb))) END AS mi FROM q GROUP BY target, regulator),
-bg AS (SELECT * FROM mi WHERE target < 'd08'), sd AS (SELECT regulator, avg(round(mi, 10)) AS m1, stddev_samp(round(mi, 10)) AS s1 FROM mi GROUP BY ALL), sb AS (SELECT regulator, avg(round(mi, 10)) AS m2, stddev_samp(round(mi, 10)) AS s2 FROM bg GROUP BY ALL),
+bg AS (SELECT * FROM mi), sd AS (SELECT regulator, avg(round(mi, 10)) AS m1, stddev_samp(round(mi, 10)) AS s1 FROM mi GROUP BY ALL), sb AS (SELECT regulator, avg(round(mi, 10)) AS m2, stddev_samp(round(mi, 10)) AS s2 FROM bg GROUP BY ALL),
 clr AS (SELECT target, regulator, sqrt(greatest(0, (round(mi, 10) - m1) / s1) ** 2 + greatest(0, (round(mi, 10) - m2) / s2) ** 2) AS clr FROM mi JOIN sd USING (regulator) JOIN sb USING (regulator))
 """).replace("\n, d AS", ", d AS")
 
 
-def _mi(spark, sf, background: bool = False):
+def _mi(spark, sf):
     binned = materialize(information.discretize(vectors(spark, sf)), "bins")
-    regulators = binned.where("feature < 'd08'").select("feature").distinct()
-    return information.mutual_information(binned, regulators if background else None, regulators)
+    return information.mutual_information_between(binned, binned)
 
 
 @query(sql("v", "SELECT obs_id, v.feature, CAST(coalesce(least(9, floor((value - lo) / nullif(hi - lo, 0) * 10)), 0) AS INTEGER) AS bin FROM v JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM v GROUP BY ALL) z ON z.feature = v.feature"))
@@ -474,12 +473,12 @@ def mutual_information(spark, sf):
 
 @query(_MI + "SELECT target, regulator, round(mi + 1.234e-9, 9) + 0.0 AS mi FROM bg")
 def background_mi(spark, sf):
-    return _mi(spark, sf, True).select(*KEYS, r("mi", 9))
+    return _mi(spark, sf).select(*KEYS, r("mi", 9))
 
 
 def _clr(spark, sf):
     mi = materialize(_mi(spark, sf), "mi")
-    return information.context_likelihood(mi, mi.where("target < 'd08'"))
+    return information.context_likelihood(mi, mi)
 
 
 @query(_MI + "SELECT target, regulator, round(clr + 1.234e-9, 6) + 0.0 AS clr FROM clr")
@@ -493,7 +492,7 @@ def _vector_prior(spark):
     return spark.createDataFrame(cells, "target string, regulator string, weight double")
 
 
-@query(_MI + """, k AS (SELECT target, regulator FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY clr DESC, regulator) AS k FROM clr WHERE clr > 0) WHERE k <= 3 UNION SELECT target, regulator FROM clr WHERE (CAST(substr(target, 2) AS INTEGER) * 7 + CAST(substr(regulator, 2) AS INTEGER) * 3) % 5 = 0)
+@query(_MI + """, k AS (SELECT target, regulator FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY clr DESC, regulator) AS k FROM clr WHERE clr > 0) WHERE k <= 3 UNION SELECT target, regulator FROM clr WHERE (CAST(substr(target, 2) AS INTEGER) * 7 + CAST(substr(regulator, 2) AS INTEGER) * 3) % 5 = 0 AND regulator < 'd08')
 SELECT target, regulator FROM k WHERE target <> regulator""".replace("\n, k AS", ", k AS"))
 def predictor_mask_topk(spark, sf):
     return information.predictor_mask(_clr(spark, sf), _vector_prior(spark), 3)
