@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import normalize
 from netloom.operators import activity, aggregates, information, matrix, networks, predict, regress, reshape, sampling, scoring, simulate, timeseries, velocity
+from netloom.plans import workflow
 from netloom.plans.tables import confidences, expression, gold, known, prior, sheet, sql, stack, table, vectors
 from netloom.session import materialize
 
@@ -511,6 +512,22 @@ def tfa_pinv(spark, sf):
     return activity.activity(vectors(spark, sf), _vector_prior(spark)).select("obs_id", "regulator", r("activity"))
 
 
+@query(sql("v", """, t AS (SELECT obs_id, sum(value) FILTER (feature < 'd32') AS a, sum(value) FILTER (feature >= 'd16' AND feature < 'd48') AS b FROM v GROUP BY ALL)
+SELECT obs_id, 'ra' AS regulator, round((32 * a - 16 * b) / 768 + 1.234e-9, 6) + 0.0 AS activity FROM t UNION ALL SELECT obs_id, 'rb', round((32 * b - 16 * a) / 768 + 1.234e-9, 6) + 0.0 FROM t""").replace("\n, t AS", ", t AS"))
+def tfa_pinv_pair(spark, sf):
+    """Two regulators whose targets overlap by half: the pseudo-inverse in closed form."""
+    cells = [(f"d{i:02d}", "ra", 1.0) for i in range(32)] + [(f"d{i:02d}", "rb", 1.0) for i in range(16, 48)]
+    return activity.activity(vectors(spark, sf), spark.createDataFrame(cells, "target string, regulator string, weight double")).select("obs_id", "regulator", r("activity"))
+
+
+@query()
+def tfa_network_prior(spark, sf):
+    """Activities of the samples of all tasks through the prior edges of the networks; a sample is a task and a name."""
+    e = samples(spark, sf)
+    p = materialize(prior(spark, sf).join(e.select(F.col("feature").alias("target")).distinct(), "target", "left_semi"), "prior")
+    return activity.pinv_activity(e, p).groupBy("regulator").agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg(F.abs("activity")), 6).alias("mean_size"))
+
+
 @query()
 def tfa_ridge(spark, sf):
     return activity.ridge_activity(vectors(spark, sf), _vector_prior(spark)).select("obs_id", "regulator", r("activity"))
@@ -536,76 +553,149 @@ def ols_single_predictor(spark, sf):
     return regress.regress(design, response, mask, lambda x, y, g: kernels.refit(x, y, x.any(axis=0)), scale_response=False).select(*KEYS, r("beta"))
 
 
-def _planted(v):
-    """The vectors with an edge planted on every target from d08 on: 0.8 times the regulator of its number modulo 8."""
-    number = F.substring("feature", 2, 2).cast("int")
-    source = v.where("feature < 'd08'").select("obs_id", F.col("feature").alias("_r"), F.col("value").alias("_v"))
-    both = v.withColumn("_r", F.format_string("d%02d", number % 8)).join(source, ["obs_id", "_r"])
-    return both.withColumn("value", F.col("value") + F.when(number >= 8, 0.8 * F.col("_v")).otherwise(0.0)).drop("_r", "_v")
+_ITEMS = """WITH i AS (SELECT l_orderkey, sum(l_quantity)::DOUBLE AS q, sum(l_discount)::DOUBLE AS d, sum(l_extendedprice)::DOUBLE AS p, sum(l_tax)::DOUBLE AS t FROM lineitem GROUP BY ALL),
+c AS (SELECT 'price' AS target, count(*) AS n, corr(q, d) AS w, corr(p, q) AS a, corr(p, d) AS b FROM i UNION ALL SELECT 'tax', count(*), corr(q, d), corr(t, q), corr(t, d) FROM i),
+f AS (SELECT *, (a - w * b) / (1 - w * w) AS b0, (b - w * a) / (1 - w * w) AS b1 FROM c), h AS (SELECT *, 1 - b0 * a - b1 * b AS left2 FROM f)
+"""
+
+
+REGULATORS = ["quantity", "discount", "lines"]
+
+
+def _items(spark, sf, regulators=REGULATORS[:2]):
+    """Orders as observations: summed price and tax as targets, summed quantity and discount (and the number of lines) as regulators."""
+    total = {c: F.sum(f"l_{n}").cast("double").alias(c) for c, n in (("quantity", "quantity"), ("discount", "discount"), ("price", "extendedprice"), ("tax", "tax"))}
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("obs_id")).agg(*total.values(), F.count(F.lit(1)).cast("double").alias("lines"))
+    cells = materialize(reshape.melt(rows, ["obs_id"], [*REGULATORS, "price", "tax"], "feature", "value"), "items")
+    mask = spark.createDataFrame([(t, g) for t in ("price", "tax") for g in regulators], "target string, regulator string")
+    return cells.where(F.col("feature").isin(regulators)).withColumnRenamed("feature", "regulator"), cells.where("feature in ('price', 'tax')"), mask
+
+
+@query(_ITEMS + """SELECT target, 'quantity' AS regulator, round(b0 + 1.234e-9, 6) + 0.0 AS beta, round(1 - left2 / (1 - b * b) + 1.234e-9, 6) + 0.0 AS share FROM h
+UNION ALL SELECT target, 'discount', round(b1 + 1.234e-9, 6) + 0.0, round(1 - left2 / (1 - a * a) + 1.234e-9, 6) + 0.0 FROM h""")
+def ols_two_predictors(spark, sf):
+    """Least squares on two z-scored predictors, with the share of residual variance each removes."""
+    from netloom.functions import kernels
+
+    return regress.regress(*_items(spark, sf), lambda x, y, g: kernels.refit(x, y, x.any(axis=0))).select(*KEYS, r("beta"), r("share"))
+
+
+@query(_ITEMS + """, e AS (SELECT *, n / 2.0::DOUBLE AS z FROM h), k AS (SELECT *, ln(z) - 1 / (2 * z) - 1 / (12 * z * z) AS psi FROM e),
+s AS (SELECT target, a, b, b0, b1, left2, 0.0::DOUBLE AS none, n * (ln((n - 1) * (1 - a * a / 2) / 2) - psi) + ln(n) AS q, n * (ln((n - 1) * (1 - b * b / 2) / 2) - psi) + ln(n) AS d, n * (ln((n - 1) * (left2 + (1 - left2) / 2) / 2) - psi) + 2 * ln(n) AS qd FROM k),
+best AS (SELECT *, least(none, q, d, qd) AS low FROM s)
+SELECT target, 'quantity' AS regulator, round(CASE WHEN low = q THEN a ELSE b0 END + 1.234e-9, 6) + 0.0 AS beta, round(CASE WHEN low = q THEN a * a ELSE 1 - left2 / (1 - b * b) END + 1.234e-9, 6) + 0.0 AS share FROM best WHERE low IN (q, qd) AND low < none
+UNION ALL SELECT target, 'discount', round(CASE WHEN low = d THEN b ELSE b1 END + 1.234e-9, 6) + 0.0, round(CASE WHEN low = d THEN b * b ELSE 1 - left2 / (1 - a * a) END + 1.234e-9, 6) + 0.0 FROM best WHERE low IN (d, qd) AND low < none""")
+def best_subset_pair(spark, sf):
+    """The subset of two candidates with the least expected BIC, refitted."""
+    return regress.regress(*_items(spark, sf), regress.best_subset_fit()).select(*KEYS, r("beta"), r("share"))
+
+
+def samples(spark, sf, tasks: bool = False):
+    """The expression of all tasks; without a task column a sample's name holds its task."""
+    e = expression(spark, sf).where("task is not null and obs_id is not null")
+    return materialize(e if tasks else e.select(F.concat_ws(":", "task", "obs_id").alias("obs_id"), "feature", "value"), "samples")
 
 
-def _fit(spark, sf, fit, replicates: int = 0):
-    """Screened models of all dimensions on the regulators d00..d07, by bootstrap."""
-    v = materialize(_planted(vectors(spark, sf)), "v")
-    binned = materialize(information.discretize(v), "bins")
-    mi = materialize(information.mutual_information(binned, None, binned.where("feature < 'd08'").select("feature").distinct()), "mi")
-    mask = materialize(information.predictor_mask(information.context_likelihood(mi, mi.where("target < 'd08'")), _vector_prior(spark), 5), "mask")
-    scope: list[str] = []
-    if replicates:
-        v = materialize(sampling.resample(v, sampling.bootstrap_index(v, replicates)), "resampled")
-        mask = mask.crossJoin(spark.range(replicates).select(F.col("id").cast("int").alias("bootstrap")))
-        scope = ["bootstrap"]
-    design = v.where("feature < 'd08'").withColumnRenamed("feature", "regulator")
-    out = regress.regress(design, v, mask, fit, prior=_vector_prior(spark), scope=scope)
-    return out.select(*scope, *KEYS, r("beta"), r("share"))
+def _project(spark, sf, tasks: bool = False) -> workflow.Data:
+    """Expression, sample sheets and gold standard of the project; known edges serve as prior."""
+    m = sheet(spark, sf)
+    if not tasks:
+        named = lambda c: F.when(F.trim(F.col(c)).isin("", "NA"), F.trim(F.col(c))).otherwise(F.concat_ws(":", "task", F.trim(F.col(c))))
+        m = m.withColumn("condName", named("condName")).withColumn("prevCol", F.when(F.col("prevCol").isNotNull(), named("prevCol"))).drop("task")
+    g = materialize(gold(spark, sf), "gold")
+    return workflow.Data(samples(spark, sf, tasks), g, g, sheet=materialize(m, "sheet"))
+
+
+def _network(spark, sf, tasks: bool = False, **settings):
+    """A whole run at production settings (screen of 10, two bootstraps and the full fit, activities through the prior)."""
+    found = workflow.infer(_project(spark, sf, tasks), workflow.Spec(**settings)).network
+    return found.select(*KEYS, *[r(c) for c in (CONF, "prior", "model_coefficient", "model_exp_var", "beta.sign.sum", "var.exp.median") if "." not in c], *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in ("beta.sign.sum", "var.exp.median")])
 
 
 @query()
 def bbsr_network(spark, sf):
-    return _fit(spark, sf, regress.best_subset_fit(prior_weight=2.0))
+    return _network(spark, sf, prior_weight=2.0)
 
 
 @query()
-def bbsr_bootstraps(spark, sf):
-    return _fit(spark, sf, regress.best_subset_fit(), replicates=2)
+def bbsr_held_out(spark, sf):
+    """Scores of a run whose prior lacks a fifth of the gold standard's targets."""
+    out = workflow.infer(_project(spark, sf), workflow.Spec(cv_ratio=0.2)).score
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 @query()
-def elastic_net_network(spark, sf):
-    return _fit(spark, sf, regress.elastic_net_fit(least=0.001))
+def bbsr_by_task(spark, sf):
+    return _network(spark, sf, True, regression="bbsr-by-task", workflow="multitask", bootstraps=1)
 
 
 @query()
-def stars_network(spark, sf):
-    return _fit(spark, sf, regress.stars_fit())
+def elastic_net_network(spark, sf):
+    return _network(spark, sf, regression="elasticnet", bootstraps=1)
 
 
 @query()
 def estimator_network(spark, sf):
-    return _fit(spark, sf, regress.estimator_fit(regress.LeastSquares, least=0.01))
-
-
-def _by_label(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("obs_id"), F.concat(F.lit("t"), (F.col("label") % 3).cast("string")).alias("task"))
-    return materialize(_planted(vectors(spark, sf)).join(e, "obs_id"), "tasks")
+    return _network(spark, sf, regression="sklearn", bootstraps=1, options={"least": 0.01})
 
 
 @query()
-def bbsr_by_task(spark, sf):
-    v = _by_label(spark, sf)
-    binned = materialize(information.discretize(v, keys=["task", "feature"]), "bins")
-    regs = binned.where("feature < 'd08'").select("feature").distinct()
-    mi = materialize(information.mutual_information(binned, None, regs, scope=["task"]), "mi")
-    mask = information.predictor_mask(information.context_likelihood(mi, mi.where("target < 'd08'"), ["task"]), _vector_prior(spark), 5, ["task"])
-    out = regress.regress(v.where("feature < 'd08'").withColumnRenamed("feature", "regulator"), v, mask, regress.best_subset_fit(), prior=_vector_prior(spark), scope=["task"])
-    return out.select("task", *KEYS, r("beta"), r("share"))
+def stars_network(spark, sf):
+    """Stability selection with 20 subsamples, the default."""
+    return regress.regress(*_items(spark, sf, REGULATORS), regress.stars_fit()).select(*KEYS, r("beta"), r("share"))
 
 
 @query()
 def amusr_network(spark, sf):
-    v = _by_label(spark, sf)
-    out = regress.multitask(v.where("feature < 'd08'").withColumnRenamed("feature", "regulator"), v.where("feature >= 'd08'"), prior=_vector_prior(spark), prior_weight=1.2)
-    return out.select("task", *KEYS, r("beta"), r("share"))
+    """Three tasks (by order number) fitted together; penalties and grid of the default."""
+    design, response, _ = _items(spark, sf, REGULATORS)
+    task = F.concat(F.lit("t"), F.pmod(F.col("obs_id").cast("long"), F.lit(3)))
+    known = spark.createDataFrame([("price", "quantity", 1.0)], "target string, regulator string, weight double")
+    return regress.multitask(design.withColumn("task", task), response.withColumn("task", task), prior=known, prior_weight=1.2).select("task", *KEYS, r("beta"), r("share"))
+
+
+_MTL = sql("s", """, q AS (SELECT task, bootstrap, target, regulator, CASE WHEN share BETWEEN 0 AND 1 THEN share ELSE 0 END AS share FROM s WHERE bootstrap >= 0 AND task IS NOT NULL),
+reps AS (SELECT count(DISTINCT bootstrap) AS r FROM q), dom AS (SELECT task, count(DISTINCT target) * count(DISTINCT regulator) AS cells FROM q GROUP BY ALL),
+n1 AS (SELECT task, bootstrap, count(*) AS k FROM q WHERE share > 0 GROUP BY ALL), z1 AS (SELECT task, bootstrap, cells, cells - k AS zeros FROM n1 JOIN dom USING (task)),
+r1 AS (SELECT q.task, q.bootstrap, target, regulator, zeros + rank() OVER w + (count(*) OVER (PARTITION BY q.task, q.bootstrap, share) - 1) / 2.0::DOUBLE - CASE WHEN zeros > 0 THEN (zeros + 1) / 2.0::DOUBLE ELSE 0 END AS gain FROM q JOIN z1 USING (task, bootstrap) WHERE share > 0 WINDOW w AS (PARTITION BY q.task, q.bootstrap ORDER BY share)),
+b1 AS (SELECT dom.task, any_value(dom.cells) AS cells, sum(CASE WHEN zeros > 0 THEN (zeros + 1) / 2.0::DOUBLE ELSE 0 END) + ((SELECT r FROM reps) - count(zeros)) * (any_value(dom.cells) + 1) / 2.0::DOUBLE AS base FROM dom LEFT JOIN z1 USING (task) GROUP BY dom.task),
+g1 AS (SELECT task, target, regulator, sum(gain) AS gain FROM r1 GROUP BY ALL), l1 AS (SELECT task, min(gain) AS low, count(*) AS held FROM g1 GROUP BY ALL),
+c1 AS (SELECT g1.task, target, regulator, (base + gain - least) / ((SELECT r FROM reps) * cells - least) AS conf FROM g1 JOIN (SELECT b1.*, base + CASE WHEN held < cells THEN least(low, 0) ELSE low END AS least FROM b1 JOIN l1 USING (task)) x USING (task)),
+d2 AS (SELECT count(DISTINCT target) * count(DISTINCT regulator) AS cells, (SELECT count(*) FROM dom) AS r FROM q),
+z2 AS (SELECT task, cells - count(*) AS zeros FROM c1, d2 WHERE conf <> 0 GROUP BY task, cells),
+r2 AS (SELECT target, regulator, zeros + rank() OVER (PARTITION BY c1.task ORDER BY conf) + (count(*) OVER (PARTITION BY c1.task, conf) - 1) / 2.0::DOUBLE - CASE WHEN zeros > 0 THEN (zeros + 1) / 2.0::DOUBLE ELSE 0 END AS gain FROM c1 JOIN z2 USING (task) WHERE conf <> 0),
+b2 AS (SELECT sum(CASE WHEN zeros > 0 THEN (zeros + 1) / 2.0::DOUBLE ELSE 0 END) + ((SELECT r FROM d2) - count(*)) * ((SELECT cells FROM d2) + 1) / 2.0::DOUBLE AS base FROM z2), g2 AS (SELECT target, regulator, sum(gain) AS gain FROM r2 GROUP BY ALL)
+""").replace("\n, q AS", ", q AS")
+
+
+def _task_stack(spark, sf):
+    """The stacks of all tasks; shares out of range count as 0."""
+    rows = stack(spark, sf).where("task is not null").withColumn("share", F.when(F.col("share").between(0, 1), F.col("share")).otherwise(0.0))
+    return materialize(rows, "stack")
+
+
+def _mtl(spark, sf):
+    st = _task_stack(spark, sf)
+    drawn = st.where("bootstrap >= 0")
+    n = drawn.select("bootstrap").distinct().count()
+    labels = lambda c: materialize(drawn.select("task", c).distinct(), c)
+    return workflow.assemble_tasks(st, labels("target"), labels("regulator"), prior(spark, sf), gold(spark, sf), workflow.Spec(bootstraps=n, workflow="multitask", regression="bbsr-by-task"))
+
+
+@query(_MTL + "SELECT target, regulator, round((base + gain - base) / ((SELECT r * cells FROM d2) - base) + 1.234e-9, 9) + 0.0 AS combined_confidences FROM g2, b2")
+def mtl_network(spark, sf):
+    """The whole network of the stacks of all tasks: tasks rank their bootstraps, then the tasks' confidences are ranked."""
+    return _mtl(spark, sf).edges.select(*KEYS, r(CONF, 9))
+
+
+@query(_MTL + "SELECT task, target, regulator, round(conf + 1.234e-9, 9) + 0.0 AS combined_confidences FROM c1 WHERE conf > 0")
+def mtl_task_networks(spark, sf):
+    """The tasks' own networks."""
+    out = None
+    for t, result in _mtl(spark, sf).tasks.items():
+        one = result.network.select(F.lit(t).alias("task"), *KEYS, r(CONF, 9))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- splits, shuffles, samples -----------------------------------------------------------------
