@@ -98,8 +98,9 @@ def named_orphans(refs: DataFrame, parents: DataFrame, *, group: list[str], key:
 
     ``refs``: group..., key, at (integer), out...; ``parents``: group..., key, first, last (integers; ``last`` null: open)."""
     columns = list(dict.fromkeys([*group, key, at, *out]))
-    asked = refs.select(*columns).distinct()
-    keys = materialize(named_keys(asked, parents.where(F.col(key).isNotNull()), group, key), "keys")
+    asked = materialize(refs.select(*columns).distinct(), "asked")  # read three times
+    parents = materialize(parents.where(F.col(key).isNotNull()).groupBy(*group, key, first).agg(F.max(F.coalesce(last, F.lit(OPEN))).alias(last)), "parents")
+    keys = materialize(named_keys(asked, parents, group, key), "keys")
     gone = unmatched(keys.where("is_parent = 0").select("id", "block"), key_runs(keys), ["block"], "id", hot_rows)
     on = lambda a, b: [a[c].eqNullSafe(b[f"k_{c}"]) for c in [*group, key]]
     named = lambda df, *more: df.select(*[F.col(c).alias(f"k_{c}") for c in [*group, key]], *more)
