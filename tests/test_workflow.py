@@ -227,7 +227,7 @@ def test_sources(spark, tmp_path):
     assert got == {("c1", "g1", 5.0), ("c3", "g2", 3.0), ("c2", "g1", 7.0)}
     (tmp_path / "tfs.tsv").write_text("b\na\n")
     assert [r.label for r in readers.read_lines(spark, str(tmp_path / "tfs.tsv")).orderBy("place").collect()] == ["b", "a"]
-    for bad in (lambda: readers.read_expression(spark, "h5", "x"), lambda: readers.join_path("a", None), lambda: readers.read_feature_sheet(spark, "x", None)):
+    for bad in (lambda: readers.read_expression(spark, "h9", "x"), lambda: readers.join_path("a", None), lambda: readers.read_feature_sheet(spark, "x", None)):
         with pytest.raises(ValueError):
             bad()
     with pytest.raises(FileNotFoundError):
@@ -236,6 +236,45 @@ def test_sources(spark, tmp_path):
     assert writers.write_tsv(m, None, "x") is None and writers.write_tsv(m, str(tmp_path), "out.tsv")
 
 
+def test_layers_decay_and_sheets(spark, tmp_path):
+    (tmp_path / "v.tsv").write_text("id\tg1\tg2\ns1\t1\t2\ns2\t3\t4\n")
+    m = readers.read_expression(spark, "tsv", str(tmp_path / "v.tsv"))
+    assert readers.read_layer(spark, "tsv", str(tmp_path / "v.tsv"), m).count() == 4
+    with pytest.raises(ValueError, match="shares no cell"):
+        readers.read_layer(spark, "tsv", str(tmp_path / "v.tsv"), m.withColumn("obs_id", F.lit("z")))
+    assert readers.read_decay(spark, str(tmp_path / "v.tsv"))[0] == "per_cell"
+    (tmp_path / "d.tsv").write_text("id\tDC\ng1\t0.5\ng2\t1\n")
+    kind, per = readers.read_decay(spark, str(tmp_path / "d.tsv"))
+    assert kind == "per_feature" and {(r.feature, r.decay) for r in per.collect()} == {("g1", 0.5), ("g2", 1.0)}
+    (tmp_path / "row.tsv").write_text("id\tg1\tg2\nDC\t0.5\t1\n")
+    assert {(r.feature, r.decay) for r in readers.read_decay(spark, str(tmp_path / "row.tsv"))[1].collect()} == {("g1", 0.5), ("g2", 1.0)}
+    assert readers.read_activity(spark, str(tmp_path / "v.tsv")).columns == ["obs_id", "regulator", "value"]
+    (tmp_path / "m.tsv").write_text("isTs\tis1stLast\tprevCol\tdel.t\tcondName\nTRUE\tf\tNA\tNA\ta\nTRUE\tl\ta\t2.5\tb\n")
+    sheet = readers.read_sheet(spark, str(tmp_path / "m.tsv"))
+    assert dict(sheet.dtypes)["isTs"] == "boolean" and {(r["condName"], r["del.t"]) for r in sheet.collect()} == {("a", None), ("b", 2.5)}
+    (tmp_path / "twice.tsv").write_text("t\tr\tr\na\t1\t2\n")
+    with pytest.raises(ValueError, match="twice"):
+        readers.read_network(spark, str(tmp_path / "twice.tsv"))
+
+
+def test_hdf5_files(spark, tmp_path):
+    try:
+        import h5py
+    except ImportError:
+        for read in (readers.read_annotated, readers.read_cells_hdf5, readers.read_hdf5):
+            with pytest.raises(ImportError, match="h5py"):
+                read(spark, str(tmp_path / "x.h5"))
+        return
+    with h5py.File(tmp_path / "cells.h5", "w") as f:
+        g = f.create_group("matrix")
+        g["barcodes"], g["genes"], g["data"], g["indices"], g["indptr"] = [b"c1", b"c2"], [b"g1", b"g2"], [5, 7], [1, 0], [0, 1, 2]
+    assert {tuple(r) for r in readers.read_cells_hdf5(spark, str(tmp_path / "cells.h5")).collect()} == {("c1", "g2", 5.0), ("c2", "g1", 7.0)}
+
+
+def test_single_file(spark, tmp_path):
+    assert writers.write_tsv(spark.range(3), str(tmp_path), "one.tsv", single=True) and (tmp_path / "one.tsv").read_text() == "id\n0\n1\n2\n"
+
+
 def test_stream(spark, tmp_path):
     from netloom.operators.lineparse import SAMPLE_SHEET
     from netloom.streaming.lines import parse_stream
