@@ -68,8 +68,15 @@ def trim_constant(m: DataFrame, *, scope: list[str] | None = None, feature: str
     return m.join(moving, keys, "left_semi")
 
 
-def count_filter(m: DataFrame, minimum: float | None, n_obs: int | Column, *, scope: list[str] | None = None, feature: str = "feature", value: str = "value") -> DataFrame:
-    """Features whose sum reaches ``minimum`` per observation; then constant ones go."""
+def count_filter(m: DataFrame, minimum: float | None, n_obs: int | Column, *, scope: list[str] | None = None, feature: str = "feature", value: str = "value", strict: bool = False) -> DataFrame:
+    """Features whose sum reaches ``minimum`` per observation; then constant ones go.
+
+    ``strict``: a negative value, or none that is a number, raises, as sums of counts mean nothing then."""
+    if strict:
+        v = F.col(value)
+        bad = m.agg(F.count_if(v < 0).alias("negative"), F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("other")).first()
+        if bad["negative"] or bad["other"]:
+            raise ValueError(f"{bad['negative']} negative values and {bad['other']} that are no numbers among the counts")
     if minimum is not None:
         keys = [*(scope or []), feature]
         m = m.join(m.groupBy(*keys).agg(F.sum(value).alias("_sum")).where(F.col("_sum") >= minimum * n_obs).select(*keys), keys, "left_semi")

@@ -57,14 +57,43 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/netloom-{name}-{uuid.uuid4().hex}"
 
 
+_MADE: dict[str, tuple[SparkSession, list[str]]] = {}
+
+
+def owned_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes when ``release`` is called or the driver ends."""
+    path = shared_path(spark, name)
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = (spark, [])
+        atexit.register(release, spark)
+    _MADE[app][1].append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; results that were not yet read from them are lost."""
+    app = next((a for a, (s, _) in _MADE.items() if s is spark), None)
+    if app is None:
+        return
+    paths = _MADE[app][1]
+    try:
+        for path in paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        paths.clear()
+    except Exception:  # the JVM may be gone by then: the folder is left to the cluster
+        return
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: the result survives the loss of any executor, and is stored by column
-    and compressed. The caller owns the folder; it is as long-lived as the checkpoint folder.
+    and compressed. The folder is removed by ``release``, and when the driver ends.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = owned_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

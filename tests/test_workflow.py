@@ -277,14 +277,23 @@ def test_single_file(spark, tmp_path):
 
 def test_stream(spark, tmp_path):
     from netloom.operators.lineparse import SAMPLE_SHEET
-    from netloom.streaming.lines import parse_stream
+    from netloom.streaming.lines import parse_stream, reject_counts, write_parsed
 
+    schema = "raw_id long, source string, line string, at timestamp"
     src = tmp_path / "in"
-    spark.createDataFrame([(1, "meta_data", "TRUE\tm\tS1\t10\tS2"), (2, "meta_data", "bad")], "raw_id long, source string, line string").write.parquet(str(src))
-    stream = parse_stream(spark.readStream.schema("raw_id long, source string, line string").parquet(str(src)), {"meta_data": SAMPLE_SHEET}, ["raw_id"])
-    q = stream.writeStream.format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert {r.raw_id: r.parse_cost for r in spark.sql("select * from parsed").collect()}[1] == 0
+    rows = [(1, "meta_data", "TRUE\tm\tS1\t10\tS2", "2024-01-01 00:10:00"), (2, "meta_data", "TRUE\tm\tS1\tx\tS2", "2024-01-01 00:20:00"), (2, "meta_data", "TRUE\tm\tS1\tx\tS2", "2024-01-01 00:21:00"), (3, "meta_data", "TRUE\tm\tS1\ty\tS2", "2024-01-01 01:20:00")]
+    spark.createDataFrame(rows, "raw_id long, source string, line string, at string").withColumn("at", F.to_timestamp("at")).write.parquet(str(src))
+    read = lambda: spark.readStream.schema(schema).parquet(str(src))
+    layouts = {"meta_data": SAMPLE_SHEET}
+    write_parsed(parse_stream(read(), layouts, ["raw_id"], time="at", once=["raw_id"]), str(tmp_path / "out")).awaitTermination(120)
+    got = sorted((r.raw_id, r.state) for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect())
+    assert got == [(1, "loaded"), (2, "rejected"), (3, "rejected")]
+    q = reject_counts(parse_stream(read(), layouts, ["raw_id", "at"]), "at").writeStream.outputMode("complete").format("memory").queryName("rejects").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.kind, r.lines) for r in spark.sql("select * from rejects").collect()) == [("invalid", 1), ("invalid", 2)]
+    for bad in (lambda: parse_stream(spark.createDataFrame([], schema), layouts, []), lambda: parse_stream(read(), layouts, [], once=["raw_id"])):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_matrix_and_checks(spark):
