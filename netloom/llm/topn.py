@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netloom.session import parallelism, shared_path
+from netloom.session import owned_path, parallelism
 
 ROW_GROUP_BYTES = 64 << 20
 FILE_ROWS = 4_000_000
@@ -52,7 +52,7 @@ def cluster(df: DataFrame, *, group: Column, item: Column, score: Column, share:
     width = max(tasks, -(-seen // FILE_ROWS))
     hot = F.col("g").isin(list(frequent)) if frequent else F.lit(False)
     salt = F.when(hot, F.pmod(F.xxhash64("i"), F.lit(width)).cast("int")).otherwise(-1)
-    path = shared_path(spark, "clustered")
+    path = owned_path(spark, "clustered")
     (
         rows.withColumn("hot", hot.cast("int")).withColumn("salt", salt)
         .repartition(width, "g", "salt").sortWithinPartitions("hot", F.desc("s")).drop("salt")
