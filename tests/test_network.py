@@ -141,10 +141,19 @@ def test_no_and_ridge_activity(spark):
 
 
 def test_stars_query_takes_the_default_subsamples(monkeypatch):
-    monkeypatch.setattr(catalogue, "_fit", lambda spark, sf, fit, replicates=0: fit)
+    class Fit(Exception):
+        pass
+
+    def stop(design, response, mask, fit, **_):
+        raise Fit(fit)
+
+    monkeypatch.setattr(catalogue, "_items", lambda *_: (None, None, None))
+    monkeypatch.setattr(catalogue.regress, "regress", stop)
+    with pytest.raises(Fit) as found:
+        catalogue.stars_network(None, "")
     x = np.random.default_rng(0).normal(size=(10, 2))
     with pytest.raises(ValueError, match="20 subsamples of 10"):
-        catalogue.stars_network(None, "")(x, x[:, 0], np.ones(2))
+        found.value.args[0](x, x[:, 0], np.ones(2))
 
 
 # --- time series -------------------------------------------------------------------------------------
