@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,23 @@ def robust_scale(m: DataFrame, *, keys: list[str] | None = None, value: str = "v
 METHODS: dict[str, Callable] = {"zscore": zscore, "robustscaler": robust_scale, "raw": lambda m, **_: m}
 
 
+def by_column(m: DataFrame, f: Callable[[np.ndarray], np.ndarray], *, keys: list[str] | None = None, obs: str = "obs_id", value: str = "value") -> DataFrame:
+    """A function of whole columns on each feature: it gets the values in the order of the observations and gives as many.
+
+    A feature's values meet in one task; what the built-in expressions can state should not come here."""
+    keys = keys or ["feature"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(obs, kind="stable")
+        new = np.asarray(f(pdf[value].to_numpy(float)), float)
+        if new.shape != (len(pdf),):
+            raise ValueError(f"the function gave {new.shape} for {len(pdf)} values")
+        return pdf.assign(**{value: new})
+
+    rows = m.select(*keys, obs, F.col(value).cast("double").alias(value))
+    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+
+
 @dataclass(frozen=True)
 class Preprocessing:
     """Methods and limits for predictors, response and activity input; '' keeps what is set."""

@@ -61,22 +61,35 @@ class Estimator:
         return self.predict(self.transform(expression))
 
 
-def predict_dynamic(activity: DataFrame, coefficients: DataFrame, *, series: str, time: str, decay: float = 0.0, step_time: float = 1.0, dt: float = 0.1) -> DataFrame:
+def predict_dynamic(activity: DataFrame, coefficients: DataFrame, *, series: str, time: str, decay: float | DataFrame = 0.0, start: DataFrame | None = None, step_time: float = 1.0, dt: float = 0.1) -> DataFrame:
     """(series, time, target, value): forward Euler along each series; series run in parallel.
 
+    ``decay``: one constant, or (target, decay), absent targets 0. ``start``: (series, target, value), absent ones 0.
     The model's edges travel in the closure: its size is that of the network, not of the data."""
     edges = coefficients.select("target", "regulator", "beta").toPandas()
     targets, regulators = sorted(edges["target"].unique()), sorted(edges["regulator"].unique())
     w = np.zeros((len(targets), len(regulators)))
     w[pd.Index(targets).get_indexer(edges["target"]), pd.Index(regulators).get_indexer(edges["regulator"])] = edges["beta"]
+    if isinstance(decay, DataFrame):
+        known = {r["target"]: r["decay"] for r in decay.select("target", "decay").join(coefficients.select("target").distinct(), "target", "left_semi").collect()}  # a row a target of the model
+        rate = np.array([known.get(t) or 0.0 for t in targets])
+    else:
+        rate = np.full(len(targets), decay)
+    rows = activity.select(series, time, "regulator", "activity", F.lit(None).cast("string").alias("_target"))
+    if start is not None:  # starts travel with their series
+        first = start.select(series, F.lit(None).cast(dict(activity.dtypes)[time]).alias(time), F.lit(None).cast("string").alias("regulator"), F.col("value").cast("double").alias("activity"), F.col("target").alias("_target"))
+        rows = rows.unionByName(first.join(activity.select(series).distinct(), series, "left_semi"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        begin = pdf[pdf["_target"].notna()]
+        pdf = pdf[pdf["_target"].isna()]
+        x0 = begin.set_index("_target")["activity"].reindex(targets).fillna(0.0).to_numpy(float)
         a = pdf.pivot_table(index=time, columns="regulator", values="activity", fill_value=0.0).reindex(columns=regulators, fill_value=0.0).sort_index()
-        x = kernels.step_forward(w, a.to_numpy(float), np.full(len(targets), decay), step_time=step_time, dt=dt)
+        x = kernels.step_forward(w, a.to_numpy(float), rate, x0, step_time=step_time, dt=dt)
         out = pd.DataFrame(x, columns=targets, index=a.index).stack().reset_index()
         out.columns = [time, "target", "value"]
         out.insert(0, series, pdf[series].iloc[0])
         return out
 
     kinds = dict(activity.dtypes)
-    return activity.groupBy(series).applyInPandas(run, f"{series} {kinds[series]}, {time} {kinds[time]}, target string, value double")
+    return rows.groupBy(series).applyInPandas(run, f"{series} {kinds[series]}, {time} {kinds[time]}, target string, value double")

@@ -206,6 +206,14 @@ def test_predict(spark):
     series = spark.createDataFrame([("x", t, "r", 1.0) for t in range(3)], "series string, time int, regulator string, activity double")
     got = [r.value for r in predict.predict_dynamic(series, c, series="series", time="time").orderBy("time").collect()]
     assert got == pytest.approx([0, 2.2, 4.2])
+    begin = spark.createDataFrame([("x", "t", 10.0), ("y", "t", 1.0)], "series string, target string, value double")
+    rates = spark.createDataFrame([("t", 0.1), ("other", 5.0)], "target string, decay double")
+    got = [r.value for r in predict.predict_dynamic(series, c, series="series", time="time", start=begin, decay=rates).orderBy("time").collect()]
+    x, want = 10.0, [10.0]
+    for k in range(30):
+        x += (2.0 - 0.1 * x) * 0.1
+        want += [x] if k in (10, 20) else []
+    assert got == pytest.approx(want)
     assert predict.trim_model(c, regulators=["r"]).count() == 1
     with pytest.raises(KeyError):
         predict.trim_model(c, targets=["u"])
@@ -271,6 +279,15 @@ def test_hdf5_files(spark, tmp_path):
     assert {tuple(r) for r in readers.read_cells_hdf5(spark, str(tmp_path / "cells.h5")).collect()} == {("c1", "g2", 5.0), ("c2", "g1", 7.0)}
 
 
+def test_functions_of_whole_columns(spark):
+    from netloom.functions.normalize import by_column
+
+    m = spark.createDataFrame([("s2", "a", 3), ("s1", "a", 1), ("s1", "b", 5)], "obs_id string, feature string, value int")
+    assert {tuple(r) for r in by_column(m, np.cumsum).collect()} == {("a", "s1", 1.0), ("a", "s2", 4.0), ("b", "s1", 5.0)}
+    with pytest.raises(Exception, match="the function gave"):
+        by_column(m, lambda v: v[:0]).collect()
+
+
 def test_single_file(spark, tmp_path):
     assert writers.write_tsv(spark.range(3), str(tmp_path), "one.tsv", single=True) and (tmp_path / "one.tsv").read_text() == "id\n0\n1\n2\n"
 
