@@ -6,12 +6,12 @@ the sources allow; the source step comes last. Rounds go on until no weight move
 expected number of copies and never exceeds the source's cap. Each record
 then gets the whole part of its cell's weight as copies, and one more if its uniform hash falls below
 the fraction, scaled per source so that the tokens reached come as close to the target as
-whole records allow. The scale comes from two histograms over hash thresholds, summed and cut in Spark; only the cells' token
-sums reach the driver, where they are raked.
+whole records allow. The scale comes from two histograms over hash thresholds, and in the one bin in which they pass the target from the
+draws themselves, one by one; all of it is summed and cut in Spark.
 
-Sizes: a mix names at most ``MAX_SOURCES`` sources, more is an error (it is a table of settings). Where sources, languages and topics
-make more than ``max_cells`` cells, the labels with the fewest tokens are raked together as one label; every record keeps its own
-labels and its part in the mix.
+Sizes: up to ``max_cells`` cells of source, language and topic are raked on the driver, more by the same steps in Spark, every cell and
+label by itself (``rake_in_spark``); the bound decides only where. More than ``max_sources`` sources are refused, as a table of settings
+that long may be a mistake; None takes any number, and so do the queries.
 
 Defined results
 ---------------
@@ -25,7 +25,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from netloom.session import discard, materialize, stored
+
 BINS = 4096
 TOLERANCE = 1e-9
 MAX_ROUNDS = 2000
@@ -43,9 +44,9 @@ Cell = tuple[str, str, str]
 
 @dataclass(frozen=True)
 class Fit:
-    """Raked weights: copies for each cell, rounds taken, the last move, and the largest relative miss of each axis' margins."""
+    """Raked weights: copies for each cell (None where they were raked in Spark), rounds taken, the last move, and the largest relative miss of each axis' margins."""
 
-    weights: dict[Cell, float]
+    weights: dict[Cell, float] | None
     rounds: int
     moved: float
     misses: dict[str, float]
@@ -88,87 +89,134 @@ def rake(tokens: dict[Cell, float], want: dict[str, float], cap: dict[str, int],
     return Fit(dict(zip(cells, weight.tolist())), rounds, moved, misses)
 
 
+def _scales(cells: DataFrame, axis: str, made: list[str]) -> DataFrame:
+    """(axis, x): the factor of each label that brings the cells, each at most at its cap, to the label's goal."""
+    w, most, t, x = F.col("w"), F.col("most"), F.col("t"), F.col("x")
+    ratio, over = F.try_divide(w, most), F.coalesce(F.col("x") * F.try_divide(w, most) > 1 + 1e-12, F.lit(False))
+    goal = F.max(f"goal_{axis}")
+    first = cells.groupBy(axis).agg(F.coalesce(F.try_divide(F.greatest(goal, F.lit(0.0)), F.sum(w * t)), F.lit(1.0)).alias("x"), F.max(ratio).alias("top"))
+    found, path = stored(first, "scales")
+    made.append(path)
+    while not found.where(x * F.col("top") > 1 + 1e-12).isEmpty():  # each time at least one more cell is at its cap
+        rest, loose = goal - F.sum(F.when(over, most * t).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(w * t))
+        more = F.greatest(F.max(x), F.coalesce(F.try_divide(rest, loose), F.max(x)))
+        found, path = stored(cells.join(found, axis).groupBy(axis).agg(more.alias("x"), F.max(F.when(~over, ratio)).alias("top")), "scales")
+        made.append(path)
+    return found.drop("top")
+
+
+def rake_in_spark(cells: DataFrame, aims: DataFrame, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, Fit]:
+    """The steps of ``rake`` for any number of cells: the cells with their weight ``w``, and the fit.
+
+    ``cells``: source, lang, topic, t, cap; ``aims``: source, have, aim; both stored. A weight within ``TOLERANCE`` of a whole number is that number."""
+    spark = cells.sparkSession
+    total = aims.agg(F.sum("aim")).first()[0]
+    mass = cells.agg(F.sum("t")).first()[0]
+    goals, paths = aims.select("source", F.col("aim").alias("goal_source"), "have"), []
+    state = cells.join(goals, "source").select("source", "lang", "topic", F.col("t").cast("double").alias("t"), F.col("cap").cast("double").alias("most"), "goal_source", "have")
+    for c in ("lang", "topic"):
+        goal, path = stored(cells.groupBy(c).agg((F.sum("t") / F.lit(float(mass)) * F.lit(float(total))).alias(f"goal_{c}")), "goals")
+        paths.append(path)
+        state = state.join(goal, c)
+    w, most = F.col("w"), F.col("most")
+    state, path = stored(state.withColumn("w", F.least(most, F.col("goal_source") / F.col("have"))).drop("have"), "raked")
+    paths.append(path)
+    kept = state.columns
+    for rounds in range(1, max_rounds + 1):
+        new = state.withColumn("was", w)
+        for axis in ("lang", "topic", "source"):
+            over = F.coalesce(F.col("x") * F.try_divide(w, most) > 1 + 1e-12, F.lit(False))
+            new = new.join(_scales(new, axis, paths), axis).withColumn("w", F.when(over, most).otherwise(w * F.col("x"))).drop("x")
+        state, path = stored(new.select(*kept, F.abs(w - F.col("was")).alias("moved")), "raked")
+        discard(spark, paths)
+        paths = [path]
+        moved = state.agg(F.max("moved")).first()[0]
+        if moved <= TOLERANCE:
+            break
+    near = F.round(w)
+    w = F.greatest(F.lit(0.0), F.least(most, w))
+    state = materialize(state.withColumn("w", F.when(F.abs(F.col("w") - near) <= TOLERANCE, near).otherwise(w)), "weights")
+    discard(spark, paths)
+    miss = lambda a: state.groupBy(a).agg(F.sum(F.col("w") * F.col("t")).alias("r"), F.max(f"goal_{a}").alias("g")).agg(F.max(F.abs(F.col("r") - F.col("g")) / F.greatest("g", F.lit(1.0)))).first()[0]
+    return state.select(*AXES, "t", "w"), Fit(None, rounds, moved, {a: miss(a) for a in AXES})
+
+
 @dataclass(frozen=True)
 class Plan:
-    """Settings of the mix, the cells' tokens and their fit, and the records with the labels they are raked by."""
+    """The raked cells (source, lang, topic, t, w), what each source aims at (source, aim), the fit, the records, and whether the sources are few."""
 
-    share: dict[str, float]
-    cap: dict[str, int]
-    total: float
-    tokens: dict[Cell, float]
+    cells: DataFrame
+    aims: DataFrame
     fit: Fit
     rows: DataFrame
+    few: bool
 
 
-def plan(counted: DataFrame, targets: DataFrame, *, max_cells: int = 20_000) -> Plan:
-    rows = targets.select("source", "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources in a mix")
-    share: dict[str, float] = {}
-    cap: dict[str, int] = {}
-    for r in sorted((r for r in rows if r["source"] is not None and r["target_share"] is not None), key=lambda r: (r["source"], r["target_share"])):
-        name = r["source"].strip(" ").lower()
-        if name not in share:
-            share[name], cap[name] = r["target_share"], r["max_repeats"] or 0
-    label = lambda c: F.coalesce(F.col(c), F.lit("none"))
-    cleaned = counted.select("doc_id", F.lower(F.trim("source")).alias("source"), label("lang").alias("lang"), label("topic").alias("topic"), "n_tokens")  # other columns may have any name
-    total = counted.agg(F.sum("n_tokens")).first()[0] or 0
-    named = cleaned.where(F.col("source").isin(list(share)) & (F.col("n_tokens") > 0)).withColumn("lang_", F.col("lang")).withColumn("topic_", F.col("topic"))
-    sums = lambda df: df.groupBy("source", "lang_", "topic_").agg(F.sum("n_tokens").alias("t"))
-    cells = sums(named).limit(max_cells + 1).collect()
-    if len(cells) > max_cells:  # rake the smallest labels of both axes as one each
-        each = max(1, math.isqrt(max_cells // max(1, len(share))) - 1)
-        for c in ("lang_", "topic_"):
-            large = [r[0] for r in named.groupBy(c).agg(F.sum("n_tokens").alias("t")).orderBy(F.desc("t"), c).limit(each).collect()]
-            named = named.withColumn(c, F.when(F.col(c).isin(large), F.col(c)).otherwise(F.lit("\0rare")))
-        cells = sums(named).collect()  # at most max_cells
-    tokens = {(r["source"], r["lang_"], r["topic_"]): float(r["t"]) for r in cells}
-    return Plan(share, cap, float(total), tokens, rake(tokens, {s: v * total for s, v in share.items()}, cap), named)
+def plan(counted: DataFrame, targets: DataFrame, *, max_cells: int = 20_000, max_sources: int | None = MAX_SOURCES) -> Plan:
+    spark = counted.sparkSession
+    if max_sources is not None and targets.select("source").limit(max_sources + 1).count() > max_sources:
+        raise ValueError(f"more than {max_sources} sources in a mix")
+    name = lambda c: F.lower(F.trim(c)).alias("source")
+    first = F.min(F.struct(F.col("source").alias("named"), "target_share", F.coalesce("max_repeats", F.lit(0)).alias("cap")))
+    wanted = targets.where("source is not null and target_share is not null").groupBy(name("source")).agg(first.alias("f")).select("source", F.col("f.target_share").cast("double").alias("share"), F.col("f.cap").cast("int").alias("cap"))
+    label = lambda c: F.coalesce(F.col(c), F.lit("none")).alias(c)
+    cleaned = counted.where("n_tokens > 0").select("doc_id", name("source"), label("lang"), label("topic"), "n_tokens")  # other columns may have any name
+    total = float(counted.agg(F.sum("n_tokens")).first()[0] or 0)
+    cells = materialize(cleaned.groupBy(*AXES).agg(F.sum("n_tokens").alias("t")).join(wanted, "source"), "cells")
+    few = cells.limit(max_cells + 1).collect()
+    if len(few) <= max_cells:
+        tokens = {(r["source"], r["lang"], r["topic"]): float(r["t"]) for r in sorted(few)}
+        want, cap = {r["source"]: r["share"] * total for r in few}, {r["source"]: r["cap"] for r in few}
+        fit = rake(tokens, want, cap)
+        have = dict.fromkeys(want, 0.0)
+        for c, t in tokens.items():
+            have[c[0]] += t
+        aims = spark.createDataFrame([(s, min(want[s], t * cap[s])) for s, t in have.items()], "source string, aim double")
+        raked = spark.createDataFrame([(*c, tokens[c], w) for c, w in fit.weights.items()], "source string, lang string, topic string, t double, w double")
+        return Plan(raked, aims, fit, cleaned, len(want) <= MAX_SOURCES)
+    aims = cells.groupBy("source").agg(F.sum("t").cast("double").alias("have"), F.max("share").alias("share"), F.max("cap").alias("cap"))
+    aims = materialize(aims.select("source", "have", F.least(F.col("share") * F.lit(total), F.col("have") * F.col("cap")).alias("aim")), "aims")
+    raked, fit = rake_in_spark(cells, aims)
+    return Plan(raked, aims.select("source", "aim"), fit, cleaned, aims.count() <= MAX_SOURCES)
 
 
 def _cut(hist: DataFrame, missing: str) -> DataFrame:
-    """Per source the bin in which the running total passes what is missing, the total before it and the bin's own.
+    """Per source the place (bin, or draw) in which the running total passes what is missing, the total before it and the place's own.
 
-    Beyond the last bin where all of them together don't pass it. A source has at most 2 x BINS + 1 bins."""
+    None where all of them together don't pass it. A source has at most BINS + 1 bins, and in a bin of a bin a handful of draws."""
     w = W.partitionBy("source").orderBy("b")
     run = hist.withColumn("upto", F.sum("t").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    past = F.col("upto") > F.col(missing)
-    first = F.min(F.when(past, F.struct("b", (F.col("upto") - F.col("t")).alias("before"), "t")))
-    last = F.struct((F.max("b") + 1).alias("b"), F.max("upto").alias("before"), F.lit(0).cast("long").alias("t"))
-    return run.groupBy("source").agg(F.coalesce(first, last).alias("at")).select("source", "at.b", "at.before", "at.t")
+    first = F.min(F.when(F.col("upto") > F.col(missing), F.struct("b", (F.col("upto") - F.col("t")).alias("before"), "t")))
+    return run.groupBy("source").agg(first.alias("at"), F.max(missing).alias(missing)).where("at is not null").select("source", "at.b", "at.t", (F.col(missing) - F.col("at.before")).alias("rest"))
 
 
-def select(counted: DataFrame, targets: DataFrame, *, seed: int = 7, max_cells: int = 20_000, planned: Plan | None = None) -> DataFrame:
+def select(counted: DataFrame, targets: DataFrame, *, seed: int = 7, max_cells: int = 20_000, max_sources: int | None = MAX_SOURCES, planned: Plan | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, copies) of the chosen records.
 
     ``counted``: doc_id, source, lang, topic, n_tokens; stored, as it is read several times.
-    ``targets``: source, target_share, max_repeats; a small table, read to the driver."""
-    spark = counted.sparkSession
-    p = planned or plan(counted, targets, max_cells=max_cells)
-    # at most max_cells rows, and one row a source
-    table = F.broadcast(spark.createDataFrame([(*c, w) for c, w in p.fit.weights.items()], "s string, l string, p string, w double"))
-    have: dict[str, float] = {}
-    for c, t in p.tokens.items():
-        have[c[0]] = have.get(c[0], 0.0) + t
-    aims = F.broadcast(spark.createDataFrame([(s, min(p.share[s] * p.total, t * p.cap[s])) for s, t in have.items()], "source string, aim double"))
-    drawn = p.rows.join(table, (F.col("source") == F.col("s")) & (F.col("lang_") == F.col("l")) & (F.col("topic_") == F.col("p"))).drop("s", "l", "p")
+    ``targets``: source, target_share, max_repeats."""
+    p = planned or plan(counted, targets, max_cells=max_cells, max_sources=max_sources)
+    small = F.broadcast if p.few else lambda df: df  # one row a source
+    weights = p.cells.select(*AXES, "w")
+    drawn = p.rows.join(F.broadcast(weights) if p.fit.weights is not None else weights, [*AXES])  # at most max_cells rows are sent
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
     part = F.col("w") - F.floor("w")
-    drawn = drawn.withColumn("base", F.floor("w").cast("int")).withColumn("at", F.when(part > 0, F.least(unit / part, F.lit(2.0)) * BINS))
-
-    hist = lambda df, b: df.groupBy("source", b.cast("long").alias("b")).agg(F.sum("n_tokens").cast("long").alias("t"))
-    missing = drawn.groupBy("source").agg(F.sum(F.col("base") * F.col("n_tokens")).alias("given")).join(aims, "source").select("source", (F.col("aim") - F.col("given")).alias("missing"))
-    open_ = drawn.where("at is not null")
-    coarse = _cut(hist(open_, F.floor("at")).join(F.broadcast(missing), "source"), "missing")
-    edge = coarse.join(missing, "source").select("source", F.col("b").alias("edge"), (F.col("missing") - F.col("before")).alias("rest"))
-    inside = open_.join(F.broadcast(edge), "source").where(F.floor("at") == F.col("edge"))
-    fine = _cut(hist(inside, F.floor((F.col("at") - F.floor("at")) * BINS)).join(F.broadcast(edge), "source"), "rest")
-    # one more bin (a record, where bins hold one) if that comes closer
-    over, under = F.col("before") + F.col("t") - F.col("rest"), F.col("rest") - F.col("before")
-    step = F.when((F.col("t") > 0) & (over < under), 1).otherwise(0)
-    limits = edge.join(fine, "source", "left").select("source", (F.col("edge") + F.coalesce(F.col("b") + step, F.lit(0)) / BINS).alias("limit"))
-    extra = F.when(F.col("at") < F.coalesce("limit", F.lit(0.0)), 1).otherwise(0)
-    return drawn.join(F.broadcast(limits), "source", "left").withColumn("copies", (F.col("base") + extra).cast("int")).where("copies > 0").select("doc_id", "source", "lang", "topic", "n_tokens", "copies")
+    drawn = drawn.withColumn("base", F.floor("w").cast("int")).withColumn("at", F.when(part > 0, unit / part))
+
+    hist = lambda df, b: df.groupBy("source", b.alias("b")).agg(F.sum("n_tokens").cast("long").alias("t"))
+    missing = drawn.groupBy("source").agg(F.sum(F.col("base").cast("long") * F.col("n_tokens")).alias("given")).join(p.aims, "source").select("source", (F.col("aim") - F.col("given")).alias("missing"))
+    # draws go on without end, bins of them do not: rising with the draw from 0 to BINS, the draw 1 in the middle
+    place = F.when(F.col("at") < 1, F.col("at") / 2).otherwise(1 - 0.5 / F.greatest("at", F.lit(1.0))) * BINS
+    open_ = drawn.where("at is not null").withColumn("place", place)
+    coarse = _cut(hist(open_, F.floor("place")).join(small(missing), "source"), "missing").select("source", F.col("b").alias("edge"), "rest")
+    inside = open_.join(small(coarse), "source").where(F.floor("place") == F.col("edge")).withColumn("finer", F.floor((F.col("place") - F.col("edge")) * BINS))
+    fine = _cut(hist(inside, F.col("finer")).join(small(coarse.select("source", "rest")), "source"), "rest").select("source", F.col("b").alias("edge_"), F.col("rest").alias("rest_"))
+    last = inside.join(small(fine), "source").where(F.col("finer") == F.col("edge_"))
+    one = _cut(hist(last, F.col("at")).join(small(fine.select("source", "rest_")), "source"), "rest_")
+    # the draw that passes the target counts if it comes closer with it; without one, all do
+    limits = one.select("source", F.col("b").alias("limit"), (F.col("t") - F.col("rest") < F.col("rest")).alias("closer"))
+    extra = F.when(F.col("at").isNotNull() & (F.col("limit").isNull() | (F.col("at") < F.col("limit")) | (F.col("closer") & (F.col("at") == F.col("limit")))), 1).otherwise(0)
+    return drawn.join(small(limits), "source", "left").withColumn("copies", (F.col("base") + extra).cast("int")).where("copies > 0").select("doc_id", "source", "lang", "topic", "n_tokens", "copies")
 
 
 def report(chosen: DataFrame, counted: DataFrame, targets: DataFrame) -> DataFrame:
@@ -186,19 +234,14 @@ def report(chosen: DataFrame, counted: DataFrame, targets: DataFrame) -> DataFra
 
 def margins(chosen: DataFrame, p: Plan) -> DataFrame:
     """(axis, label, goal, fitted, reached, rounds, moved): tokens each margin aims at, has by the fit, and has in the selection."""
-    aim = {s: min(p.share[s] * p.total, sum(t for c, t in p.tokens.items() if c[0] == s) * p.cap[s]) for s in {c[0] for c in p.fit.weights}}
-    whole, total = sum(p.tokens[c] for c in p.fit.weights), sum(aim.values())
-    rows = []
-    for k, axis in enumerate(AXES):
-        for name in sorted({c[k] for c in p.fit.weights}):
-            mine = [c for c in p.fit.weights if c[k] == name]
-            goal = aim[name] if k == 0 else sum(p.tokens[c] for c in mine) / whole * total
-            rows.append((axis, name, goal, sum(p.tokens[c] * p.fit.weights[c] for c in mine), p.fit.rounds, p.fit.moved))
-    goals = chosen.sparkSession.createDataFrame(rows, "axis string, label string, goal double, fitted double, rounds int, moved double")
-    known = [F.when(F.col(c).isin([r[1] for r in rows if r[0] == c]), F.col(c)).otherwise(F.lit("\0rare")) for c in AXES]
-    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), c.alias("label")) for a, c in zip(AXES, known)]))
-    got = chosen.select(each.alias("m"), (F.col("n_tokens") * F.col("copies")).alias("t")).groupBy("m.axis", "m.label").agg(F.sum("t").alias("reached"))
-    return goals.join(got, ["axis", "label"], "left").select("axis", "label", F.round("goal", 1).alias("goal"), F.round("fitted", 1).alias("fitted"), F.coalesce("reached", F.lit(0)).alias("reached"), "rounds", "moved")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("label")) for a in AXES])).alias("m")
+    fitted = p.cells.select(each, "t", (F.col("t") * F.col("w")).alias("f")).groupBy("m.axis", "m.label").agg(F.sum("t").alias("t"), F.sum("f").alias("fitted"))
+    whole, total = p.cells.agg(F.sum("t")).first()[0], p.aims.agg(F.sum("aim")).first()[0]
+    aims = p.aims.select(F.lit("source").alias("axis"), F.col("source").alias("label"), "aim")
+    goal = F.coalesce("aim", F.col("t") / F.lit(whole) * F.lit(total))
+    got = chosen.select(each, (F.col("n_tokens") * F.col("copies")).alias("t")).groupBy("m.axis", "m.label").agg(F.sum("t").alias("reached"))
+    both = fitted.join(aims, ["axis", "label"], "left").join(got, ["axis", "label"], "left")
+    return both.select("axis", "label", F.round(goal, 1).alias("goal"), F.round("fitted", 1).alias("fitted"), F.coalesce("reached", F.lit(0)).alias("reached"), F.lit(p.fit.rounds).alias("rounds"), F.lit(p.fit.moved).alias("moved"))
 
 
 def change_type(text: Column) -> Column:

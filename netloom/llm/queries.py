@@ -58,19 +58,19 @@ def _counted(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The selection: chosen records and how often each is used."""
-    return mixing.select(_counted(spark, sf), table(spark, sf, "mix_targets"))
+    return mixing.select(_counted(spark, sf), table(spark, sf, "mix_targets"), max_sources=None)
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     """Shares reached, by source."""
     counted, targets = _counted(spark, sf), table(spark, sf, "mix_targets")
-    return mixing.report(mixing.select(counted, targets), counted, targets)
+    return mixing.report(mixing.select(counted, targets, max_sources=None), counted, targets)
 
 
 def p7_margins(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every source, language and topic: what the mix aims at, what the fit gives and what the selection reaches."""
     counted, targets = _counted(spark, sf), table(spark, sf, "mix_targets")
-    planned = mixing.plan(counted, targets)
+    planned = mixing.plan(counted, targets, max_sources=None)
     return mixing.margins(mixing.select(counted, targets, planned=planned), planned)
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.llm import mixing
+from netloom.llm import mixing, queries
 
 SCHEMA = "doc_id long, source string, lang string, topic string, n_tokens int"
 
@@ -84,3 +84,52 @@ def test_topics(spark):
     texts = [None, " ", "x\ndiff --git a/x.PY b/x.rs\n@@ -1,2 +3 @@", "Index: src/a.b.java\n", "+++ b/Makefile\n+++ b/y.go", "see a.py", "--- \n"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(mixing.change_type(F.col("t"))).collect()]
     assert got == ["none", "none", "py", "java", "go", "none", "none"]
+
+
+def test_every_label_has_its_own_margin_beyond_the_bound(spark):
+    sizes = {(s, l, t): 40 + 9 * i + 5 * ((3 * i + 2 * j + k) % 7) for i, s in enumerate("ab") for j, l in enumerate("vwxyz") for k, t in enumerate("pqr") if (i, j, k) != (1, 4, 2)}
+    df = spark.createDataFrame([(100 * i + n, *c, 10) for i, (c, size) in enumerate(sizes.items()) for n in range(size)], SCHEMA)
+    targets = spark.createDataFrame([("a", 0.66, 2), ("b", 0.2, 1)], "source string, target_share double, max_repeats int")
+    tokens, total = {c: 10.0 * n for c, n in sizes.items()}, 10.0 * sum(sizes.values())
+    whole = mixing.rake(tokens, {"a": 0.66 * total, "b": 0.2 * total}, {"a": 2, "b": 1})
+    p = mixing.plan(df, targets, max_cells=10)
+    got = {(r.axis, r.label): r for r in mixing.margins(mixing.select(df, targets, planned=p), p).collect()}
+    assert set(got) == {(a, c[k]) for k, a in enumerate(mixing.AXES) for c in sizes}
+    for (axis, name), r in got.items():
+        k = mixing.AXES.index(axis)
+        assert r.fitted == pytest.approx(sum(whole.weights[c] * t for c, t in tokens.items() if c[k] == name), abs=0.06)
+    weights = {(r.source, r.lang, r.topic): r.w for r in p.cells.collect()}
+    assert weights == pytest.approx(whole.weights, abs=1e-8) and p.fit.misses == pytest.approx(whole.misses, abs=1e-6)
+
+
+def test_caps_are_met_in_spark(spark):
+    tokens = {("a", "x", "p"): 10.0, ("a", "y", "p"): 1000.0, ("b", "x", "p"): 500.0, ("c", "y", "p"): 70.0}
+    want, cap = {"a": 1500.0, "b": 9000.0, "c": 10.0}, {"a": 2, "b": 4, "c": 0}
+    cells = spark.createDataFrame([(*c, t, cap[c[0]]) for c, t in tokens.items()], "source string, lang string, topic string, t double, cap int")
+    have = {s: sum(t for c, t in tokens.items() if c[0] == s) for s in want}
+    aims = spark.createDataFrame([(s, have[s], min(want[s], have[s] * cap[s])) for s in want], "source string, have double, aim double")
+    raked, _ = mixing.rake_in_spark(cells, aims, 3)
+    assert {(r.source, r.lang, r.topic): r.w for r in raked.collect()} == pytest.approx(mixing.rake(tokens, want, cap, 3).weights, abs=1e-8)
+
+
+def test_the_selection_does_not_depend_on_bins(spark, monkeypatch):
+    _, df = make(spark)
+    targets = spark.createDataFrame([("big", 0.31, 1), ("small", 0.17, 3)], "source string, target_share double, max_repeats int")
+    fine = sorted(mixing.select(df, targets).collect())
+    monkeypatch.setattr(mixing, "BINS", 2)
+    assert sorted(mixing.select(df, targets).collect()) == fine
+
+
+def test_few_records_of_small_weight_reach_their_target(spark):
+    df = spark.createDataFrame([(i, "a", "x", "p", 10) for i in range(3)] + [(9, "b", "x", "p", 970)], SCHEMA)
+    targets = spark.createDataFrame([("a", 0.0075, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(6):  # 7.5 of 30 tokens: one record is closer than none or two, wherever the draws lie
+        assert [r.copies for r in mixing.select(df, targets, seed=seed).collect()] == [1]
+
+
+def test_any_number_of_sources_in_the_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    n = 5003
+    spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("S"), "id").alias("source"), F.lit("en").alias("lang"), F.lit("one two three").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1.0 / n).alias("target_share"), F.lit(1).alias("max_repeats")).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert queries.p7_mix(spark, str(tmp_path)).count() == n
